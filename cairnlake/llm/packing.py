@@ -80,7 +80,7 @@ def plan_containers(histogram: dict[int, int], capacity: int, depth: int = 3, gr
     for j, shape in enumerate(shapes):
         for s in shape:
             use[s - 1, j] += 1
-    weight = np.where(np.arange(grid) < grid // 8, 0.1, 1.0)  # short items can fill any gap later
+    weight = np.where(np.arange(grid) < grid // 8, 1e-3, 1.0)  # short items fill any gap later
     counts = np.floor(nnls(use * weight[:, None], target * weight) + 1e-6).astype(np.int64)
 
     groups: list[tuple[Counter, int]] = []
@@ -111,7 +111,11 @@ def plan_containers(histogram: dict[int, int], capacity: int, depth: int = 3, gr
                     if m:
                         have[n] += 1
                         left[n] -= 1
-                if not have:
+                if sum(have.values()) < len(shapes[j]):  # the cell has no more: what was taken is packed below
+                    for n, q in have.items():
+                        left[n] += q
+                        if n not in bins[cell(n)]:
+                            bins[cell(n)].append(n)
                     break
             else:
                 for n, q in have.items():

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import neighbours
+from . import fusion, neighbours, packing, splitting, tokens
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -28,9 +29,75 @@ SELECT DISTINCT least(p, q) AS path_a, greatest(p, q) AS path_b FROM r WHERE n <
 """
 
 
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.pieces_of(_read(spark, d, "nodes"), _read(spark, d, "docs"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_pieces(spark, d).filter("pieces > 1").select("path", "node_id").distinct()
+
+
+P3_SQL = r"""
+WITH b AS (SELECT path, max(body) AS body FROM docs WHERE path IS NOT NULL AND body IS NOT NULL GROUP BY path),
+l AS (SELECT path, list_transform(string_split(body, chr(10)), lambda x: CASE WHEN right(x, 1) = chr(13) THEN left(x, length(x) - 1) ELSE x END) AS lines FROM b),
+t AS (
+  SELECT n.path, n.id AS node_id, array_to_string(l.lines[greatest(n.start_line, 0) + 1 : n.end_line + 1], chr(10)) AS text
+  FROM nodes n JOIN l USING (path) WHERE n.start_line <= n.end_line AND n.end_line >= 0
+  UNION ALL
+  SELECT path, CAST(-1 AS BIGINT), array_to_string(lines, chr(10)) FROM l WHERE path NOT IN (SELECT path FROM nodes WHERE path IS NOT NULL)
+)
+SELECT DISTINCT path, node_id FROM t WHERE length(text) > 4000
+"""
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.agreed(_read(spark, d, "hits"))
+
+
+def p4_fused(spark: SparkSession, d: str) -> DataFrame:
+    """The whole fused ranking of every query."""
+    out = fusion.fuse(_read(spark, d, "hits"))
+    return out.withColumn("fused", F.round("fused", 9)).drop("score", "cosine")
+
+
+_P4_ONE = """
+WITH one AS (
+  SELECT query_id, path, score, cosine FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY hit_id DESC NULLS LAST, score DESC NULLS LAST, cosine DESC NULLS LAST) AS n FROM hits
+  ) WHERE n = 1
+), pos AS (
+  SELECT query_id, path,
+    CASE WHEN score IS NOT NULL THEN CAST(rank() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST) AS INTEGER) END AS pos_score,
+    CASE WHEN cosine IS NOT NULL THEN CAST(rank() OVER (PARTITION BY query_id ORDER BY cosine DESC NULLS LAST) AS INTEGER) END AS pos_cosine
+  FROM one
+)
+"""
+P4_SQL = _P4_ONE + "SELECT query_id, path FROM pos WHERE pos_score <= 3 AND pos_cosine <= 3"
+P4_FUSED_SQL = _P4_ONE + """
+, f AS (SELECT *, coalesce(1.0::DOUBLE / (60.0::DOUBLE + pos_score), 0.0::DOUBLE) + coalesce(1.0::DOUBLE / (60.0::DOUBLE + pos_cosine), 0.0::DOUBLE) AS fused FROM pos)
+SELECT query_id, path, pos_score, pos_cosine, round(fused, 9) AS fused, CAST(rank() OVER (PARTITION BY query_id ORDER BY fused DESC) AS INTEGER) AS position FROM f
+"""
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_ids(_read(spark, d, "documents"))
+
+
+CONTAINER = 2048
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, or piece of one, with its container."""
+    return packing.fill_containers(tokens.token_counts(_read(spark, d, "documents")), CONTAINER)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_containers(spark, d).filter("pieces > 1").select("doc_id").distinct()
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_pieces, p4_found, p4_fused, p6_ids, p7_found, p7_containers)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL}
+    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p4_fused": P4_FUSED_SQL}
