@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fusion, neighbours, packing, splitting, tokens
+from . import fusion, handwritten, neighbours, packing, splitting, tokens
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -79,6 +79,15 @@ SELECT query_id, path, pos_score, pos_cosine, round(fused, 9) AS fused, CAST(ran
 """
 
 
+def p5_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The margin of every path by each kind."""
+    return handwritten.score_files(_read(spark, d, "file_index"), _read(spark, d, "docs"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_scores(spark, d).filter("kind IS NOT NULL").select("path")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(_read(spark, d, "documents"))
 
@@ -96,7 +105,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_pieces, p4_found, p4_fused, p6_ids, p7_found, p7_containers)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_pieces, p4_found, p4_fused, p5_found, p6_ids, p7_found, p7_containers)}
 
 
 def oracle_sql() -> dict[str, str]:
