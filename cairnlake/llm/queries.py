@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fusion, handwritten, neighbours, packing, splitting, tokens
+from . import fusion, handwritten, neighbours, packing, splitting, subjects, tokens
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -104,8 +104,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_containers(spark, d).filter("pieces > 1").select("doc_id").distinct()
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.document_subjects(_read(spark, d, "documents"), _read(spark, d, "subject_labels"), _read(spark, d, "subjects"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_pieces, p4_found, p4_fused, p5_found, p6_ids, p7_found, p7_containers)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_pieces, p4_found, p4_fused, p5_found, p6_ids, p7_found, p7_containers, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
