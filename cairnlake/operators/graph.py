@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import extension, risk
@@ -140,10 +140,10 @@ def impact(nodes: DataFrame, docs: DataFrame, calls: DataFrame, complexity: Data
     definitions doesn't count. ref_count is the larger of confirmed calls and mentions, so it may count too
     much, never too little.
     """
-    defs = nodes.filter("symbol IS NOT NULL AND path IS NOT NULL AND start_line IS NOT NULL AND end_line IS NOT NULL AND node_type NOT IN ('section', 'preamble', 'file')").dropDuplicates(["id"])
+    defs = nodes.filter("symbol IS NOT NULL AND path IS NOT NULL AND start_line IS NOT NULL AND end_line IS NOT NULL AND node_type NOT IN ('section', 'preamble', 'file')").dropDuplicates(["id"]).select("id", "path", "symbol", "start_line", "end_line", "body")
     if symbols is not None:
         defs = defs.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
-    base = defs.join(complexity, "id", "left").groupBy("symbol").agg(F.count("*").alias("defs"), F.coalesce(F.max("complexity"), F.lit(0)).alias("complexity"), F.max(F.col("body").rlike(r"^\s*export\b").cast("int")).alias("_exported"))
+    base = defs.join(complexity.select("id", "complexity"), "id", "left").groupBy("symbol").agg(F.count("*").alias("defs"), F.coalesce(F.max("complexity"), F.lit(0)).alias("complexity"), F.max(F.col("body").rlike(r"^\s*export\b").cast("int")).alias("_exported"))
     said = outside(mentions(docs, defs), defs).groupBy("symbol").agg(F.sum("n").alias("mentions"))
     sites = calls.select(F.col("callee").alias("symbol"), "path", "line").distinct()
     if alias_calls is not None:
@@ -176,8 +176,3 @@ def alias_callers(reexports: DataFrame, bindings: DataFrame, calls: DataFrame) -
     """
     chain = reexports.filter("symbol <> alias").join(bindings, ["barrel", "alias"]).select("symbol", "alias", "path", "local")
     return chain.join(calls.select("path", "line", F.col("callee").alias("local")), ["path", "local"]).select("symbol", "path", "line", "alias").distinct()
-
-
-def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
