@@ -81,12 +81,12 @@ def _normal(path: Column) -> Column:
 JS_ENDINGS = (".ts", ".tsx", ".js", ".mjs", ".cjs", ".jsx")
 
 
-def resolve_imports(imports: DataFrame, paths: DataFrame) -> DataFrame:
-    """(type, src_path, dst_path) from (path, specifier) and the known paths (path).
+def resolve_targets(imports: DataFrame, paths: DataFrame) -> DataFrame:
+    """(path, specifier, target) from (path, specifier) and the known paths (path).
 
     Python: an absolute name meets every file whose path ends with it (module or package), a relative one
     climbs a directory per dot after the first. JavaScript: a relative specifier meets the first of itself,
-    with an ending, as a directory's index. Anything else is external and dropped, as are edges to oneself.
+    with an ending, as a directory's index. Anything else is external and dropped.
     """
     known = paths.select("path").filter("path IS NOT NULL").distinct()
     i = imports.filter("path IS NOT NULL AND specifier IS NOT NULL").select(F.col("path").alias("src"), F.col("specifier").alias("spec")).distinct()
@@ -100,14 +100,20 @@ def resolve_imports(imports: DataFrame, paths: DataFrame) -> DataFrame:
     name = F.translate(F.regexp_replace("spec", r"^\.+", ""), ".", "/")
     climb = F.when(dots > 1, F.concat("dir", F.repeat(F.lit("/.."), dots - 1))).otherwise(F.col("dir"))
     rel = py.filter("spec LIKE '.%'").withColumn("base", _normal(F.concat_ws("/", climb, name))).filter("base IS NOT NULL")
-    rel = rel.select("src", F.explode(F.array(F.concat("base", F.lit(".py")), F.concat("base", F.lit("/__init__.py")))).alias("path")).join(known, "path").select("src", F.col("path").alias("dst"))
+    rel = rel.select("src", "spec", F.explode(F.array(F.concat("base", F.lit(".py")), F.concat("base", F.lit("/__init__.py")))).alias("path")).join(known, "path").select("src", "spec", F.col("path").alias("dst"))
     # every suffix of a known module path is a name by which it can be imported: an equality join
     stem = F.regexp_replace(F.regexp_replace("path", r"/__init__\.py$", ""), r"\.py$", "")
     steps = F.split(stem, "/", -1)
     tails = known.filter("path LIKE '%.py'").select(F.col("path").alias("dst"), F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, n, F.size(steps)), "/"))).alias("name"))
-    absolute = py.filter("spec NOT LIKE '.%'").select("src", name.alias("name")).join(tails, "name").select("src", "dst")
-    out = js.select("src", "dst").unionByName(rel).unionByName(absolute)
-    return out.filter("src <> dst").distinct().select(F.lit("import").alias("type"), F.col("src").alias("src_path"), F.col("dst").alias("dst_path"))
+    absolute = py.filter("spec NOT LIKE '.%'").select("src", "spec", name.alias("name")).join(tails, "name").select("src", "spec", "dst")
+    out = js.select("src", "spec", "dst").unionByName(rel).unionByName(absolute)
+    return out.distinct().select(F.col("src").alias("path"), F.col("spec").alias("specifier"), F.col("dst").alias("target"))
+
+
+def resolve_imports(imports: DataFrame, paths: DataFrame) -> DataFrame:
+    """(type, src_path, dst_path): resolve_targets() as distinct edges, without those of a file to itself."""
+    out = resolve_targets(imports, paths).filter("path <> target")
+    return out.select(F.lit("import").alias("type"), F.col("path").alias("src_path"), F.col("target").alias("dst_path")).distinct()
 
 
 # --- impact

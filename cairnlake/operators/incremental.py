@@ -160,6 +160,14 @@ class VersionedTable:
             return m.version
         return self._publish(Manifest(m.version + 1, (*m.files, *added), (*m.vectors, *vectors), m.properties | (properties or {})))
 
+    def rewrite(self, gone: DataFrame, df: DataFrame, keys: list[str], properties: dict | None = None, base: int | None = None) -> int:
+        """Commit in one step: live rows whose keys are in gone (with exactly these columns) are deleted, the rows of df added."""
+        m = self.manifest(base)
+        marked = self._live(m.files, m.vectors).join(gone.select(*keys).distinct(), keys, "left_semi").select(FILE, POS)
+        vectors = self._store(marked, "deleted")
+        added = self._store(df.select(*self.schema.names), "data")
+        return self._publish(Manifest(m.version + 1, (*m.files, *added), (*m.vectors, *vectors), m.properties | (properties or {})))
+
     # --- differences
 
     def changes(self, since: int, until: int | None = None) -> DataFrame:

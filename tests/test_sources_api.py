@@ -167,3 +167,34 @@ def test_threshold_stream(spark, tmp_path):
     q = logs.into(s, str(tmp_path / "ck"), lambda df, _: got.extend(map(tuple, df.collect())))
     q.awaitTermination()
     assert got == [("a", 8)]
+
+
+def test_source_index(spark, tmp_path):
+    from cairnlake.index import SourceIndex, StalePointer
+
+    src = tmp_path / "src"
+    for p, b in {"app/cache.py": PY, "app/util.py": "def helper(x):\n    return x\n", "web/m.ts": "export function target() { return 1; }\n", "web/barrel.ts": "export { target as renamed } from './m';\n",
+                 "web/use.ts": "import { renamed } from './barrel';\nfunction go() { renamed(); }\n", "README.md": "# Cache\nhow the helper works\n"}.items():
+        os.makedirs(src / os.path.dirname(p), exist_ok=True)
+        (src / p).write_text(b)
+    x = SourceIndex(spark, session.fresh_dir(spark, "index"), str(src), embed=lambda t: [float("helper" in t), 1.0])
+    assert x.build() == {"upsert": 6, "touch": 0, "unchanged": 0, "deleted": 0}
+    assert x.build() == {"upsert": 0, "touch": 0, "unchanged": 6, "deleted": 0}
+    os.utime(src / "web/m.ts", (1, 1))
+    (src / "app/util.py").write_text("def helper(x):\n    return x + 1\n")
+    (src / "web/use.ts").unlink()
+    assert x.build() == {"upsert": 1, "touch": 1, "unchanged": 3, "deleted": 1}
+    assert [(r["path"], r["symbol"]) for r in x.edits.read().collect()] == [("app/util.py", "helper")]
+    assert {(r["src_path"], r["dst_path"]) for r in x.edges().collect()} == {("app/cache.py", "app/util.py"), ("web/barrel.ts", "web/m.ts")}
+    hit = x.recall("what does helper return").first()
+    assert hit["path"] in ("app/util.py", "app/cache.py") and hit["symbol"] and hit["fused"] is not None
+    assert x.recall("helper", kind="doc").first()["path"] == "README.md"
+    assert [r["id"] for r in x.related("app/cache.py").collect()] == ["app/util.py"] and x.node("app/util.py").first()["imported_by"] == 1
+    (src / "web/use.ts").write_text("import { renamed } from './barrel';\nfunction go() { renamed(); }\n")
+    x.build()
+    t = x.impact("target").first()
+    assert t["confirmed"] == 1 and "renamed" in t["hedges"][0]
+    assert x.chunk("app/util.py", 0, 0) == "def helper(x):" and x.chunk("nope.py", 0, 0) is None
+    (src / "app/util.py").write_text("changed")
+    with pytest.raises(StalePointer):
+        x.chunk("app/util.py", 0, 0)
