@@ -34,6 +34,26 @@ def split_ident(col: Column) -> Column:
     return _words(F.lower(F.regexp_replace(humps, "[^A-Za-z0-9]+", " ")))
 
 
+def ident_words(col: Column) -> Column:
+    """The parts of split_ident() as one string, each between two spaces of its own: ' a  b '; two spaces if there are none.
+
+    Counting a term in it takes built-in string functions only, which the engine compiles; the array form
+    is interpreted element by element.
+    """
+    humps = F.regexp_replace(col, "([a-z0-9])([A-Z])", "$1 $2")
+    return F.concat(F.lit(" "), F.trim(F.lower(F.regexp_replace(humps, "[^A-Za-z0-9]+", "  "))), F.lit(" "))
+
+
+def word_count(words: Column) -> Column:
+    """The number of words of ident_words(): two spaces each, none in '  '."""
+    spaces = F.octet_length(words) - F.octet_length(F.replace(words, F.lit(" "), F.lit("")))
+    return (spaces / 2).cast("int") - (words == "  ").cast("int")
+
+
+def term_count(words: Column, term: str) -> Column:
+    return ((F.octet_length(words) - F.octet_length(F.replace(words, F.lit(f" {term} "), F.lit("")))) / (len(term.encode()) + 2)).cast("int")
+
+
 def camel_parts(body: Column) -> Column:
     """Parts of the camel-case identifiers in a body, with repeats."""
     names = F.regexp_extract_all(body, F.lit(r"([A-Za-z_$][A-Za-z0-9_$]*)"), F.lit(1))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import term_count, word_count
+
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 #: Queries with more term rows than this are joined by shuffle.
 QUERY_BROADCAST = 1_000_000
@@ -22,24 +24,39 @@ def saturation(tf: Column, length: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
+def _occurrences(tokens: Column, term: str) -> Column:
+    return F.size(F.filter(tokens, lambda x: x == term))
+
+
 def bm25(corpus: DataFrame, terms: list[str], keep: Column | None = None) -> DataFrame:
-    """corpus without tokens but with a score, only rows that have a term (and pass keep).
+    """corpus without its words or tokens but with a score, only rows that have a term (and pass keep).
 
-    One pass counts each term in each row where the row lies; only one row of sums is gathered. No terms: no
-    rows. Null tokens count as an empty row.
+    The corpus has a column words (text.ident_words) or, for other tokenizers, tokens (an array). Terms are
+    counted in each row where the row lies, once for the statistics, of which one row reaches the driver,
+    and once for the scores. No terms: no rows. Null words count as an empty row.
     """
+    column = "words" if "words" in corpus.columns else "tokens"
     if not terms:
-        return corpus.limit(0).drop("tokens").withColumn("score", F.lit(0.0))
-    tokens = F.coalesce("tokens", F.array().cast("array<string>"))
-    counted = corpus.withColumn("_dl", F.size(tokens)).withColumn("_tf", F.transform(F.array(*map(F.lit, terms)), lambda t: F.size(F.filter(tokens, lambda x: x == t)))).drop("tokens")
-    stats = counted.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_mean"), *[F.sum((F.col("_tf")[i] > 0).cast("int")).alias(f"_df{i}") for i in range(len(terms))])
-    hits = counted.filter(F.exists("_tf", lambda x: x > 0))
-    hits = hits.filter(keep) if keep is not None else hits
-    parts = [F.when(F.col("_tf")[i] > 0, idf(F.col("_n"), F.col(f"_df{i}")) * saturation(F.col("_tf")[i], F.col("_dl"), F.col("_mean"))).otherwise(0.0) for i in range(len(terms))]
-    score = parts[0]
-    for p in parts[1:]:
-        score = score + p
-    return hits.crossJoin(F.broadcast(stats)).withColumn("score", score).drop("_dl", "_tf", "_n", "_mean", *[f"_df{i}" for i in range(len(terms))])  # stats is one row
+        return corpus.limit(0).drop(column).withColumn("score", F.lit(0.0))
+    if column == "words":
+        words = F.coalesce("words", F.lit(""))
+        length, tf = word_count(words), [term_count(words, t) for t in terms]
+    else:
+        tokens = F.coalesce("tokens", F.array().cast("array<string>"))
+        length, tf = F.size(tokens), [_occurrences(tokens, t) for t in terms]
+    # one generated row per row: a filter on counts isn't pushed below it, where it would split each text again
+    counts = F.struct(length.alias("dl"), *[c.alias(f"tf{i}") for i, c in enumerate(tf)])
+    counted = corpus.withColumn("_c", F.explode(F.array(counts))).drop(column)
+    stats = counted.agg(F.count("*").alias("n"), F.avg("_c.dl").alias("mean"), *[F.count(F.when(F.col(f"_c.tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))]).first()
+    hit = F.lit(False)
+    for i in range(len(terms)):
+        hit = hit | (F.col(f"_c.tf{i}") > 0)
+    score = F.lit(0.0)
+    for i in range(len(terms)):
+        weight = idf(F.lit(stats["n"]), F.lit(stats[f"df{i}"]))
+        part = weight * saturation(F.col(f"_c.tf{i}"), F.col("_c.dl"), F.lit(stats["mean"]))
+        score = score + F.when(F.col(f"_c.tf{i}") > 0, part).otherwise(0.0)
+    return counted.filter(hit if keep is None else hit & keep).withColumn("score", score).drop("_c")
 
 
 def postings(corpus: DataFrame, keys: list[str]) -> DataFrame:

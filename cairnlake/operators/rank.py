@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine, minmax, split_ident
+from ..session import materialize
 
 SPREAD = 0.3
 POOL_LOW, POOL_HIGH = 200, 400
@@ -49,12 +50,12 @@ def spread(pool: DataFrame, edges: DataFrame, weight: float = SPREAD) -> DataFra
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """One valid unit vector per path: dim matches, no null or NaN, not all zero."""
-    bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x))
-    ok = vectors.filter(F.coalesce(F.col("path").isNotNull() & (F.size("vec") == F.col("dim")) & ~bad & F.exists("vec", lambda x: x != 0), F.lit(False)))
-    one = ok.groupBy("path").agg(F.min_by("vec", F.xxhash64("vec")).alias("vec"))
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    return one.select("path", F.transform("vec", lambda x: x.cast("double") / norm).alias("vec"))
+    """One valid unit vector per path: dim matches, no null, NaN or infinity, not all zero."""
+    # the sum of squares is null, NaN, infinite or 0 exactly where the vector has no direction
+    square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    ok = vectors.filter("path IS NOT NULL AND size(vec) = dim").select("path", "vec", square.alias("q")).filter((F.col("q") > 0) & (F.col("q") < float("inf")))
+    one = ok.groupBy("path").agg(F.min_by(F.struct("vec", "q"), F.xxhash64("vec")).alias("r"))
+    return one.select("path", F.transform("r.vec", lambda x: x.cast("double") / F.sqrt("r.q")).alias("vec"))
 
 
 def similarity(vectors: DataFrame, query: list[float]) -> DataFrame:
@@ -106,10 +107,10 @@ def localize(hits: DataFrame, nodes: DataFrame, terms: list[str]) -> DataFrame:
     unnamed winner takes the label of its smallest named container. Hits without a scoring chunk give none.
     """
     asked = F.array(*map(F.lit, terms)).cast("array<string>")
-    rows = nodes.join(hits.select("path").distinct(), "path", "left_semi").dropDuplicates(["id"]).select(
+    rows = materialize(nodes.join(hits.select("path").distinct(), "path", "left_semi").dropDuplicates(["id"]).select(
         "id", "path", "symbol", "node_type", "start_line", "end_line",
         F.size(F.array_intersect(split_ident(F.concat_ws(" ", F.coalesce("symbol", F.lit("")), F.coalesce("body", F.lit("")))), asked)).alias("s"),
-    )
+    ), "localized")  # only the chunks of the hits
     scoring = rows.filter("s > 0")
     outer = scoring.alias("x").join(scoring.alias("o"), (F.col("x.path") == F.col("o.path")) & _contains("x", "o"), "left_semi").select("id")
     leaf = scoring.join(outer, "id", "left_anti")

@@ -57,11 +57,12 @@ _OWN = f"(owner IS NULL OR owner = '{TENANT}')"
 # --- lexical search
 
 _corpus = lambda spark, d: _rows(spark, d).withColumn("tokens", T.split_ident(F.coalesce("text", F.lit(""))))
+_words = lambda spark, d: _rows(spark, d).withColumn("words", T.ident_words(F.coalesce("text", F.lit(""))))
 
 
 def recall_bm25(spark: SparkSession, d: str) -> DataFrame:
     """The ten best facts for a query; statistics over all rows."""
-    hits = lexical.bm25(_corpus(spark, d), T.query_terms(QUERY), F.col("kind") == "fact")
+    hits = lexical.bm25(_words(spark, d), T.query_terms(QUERY), F.col("kind") == "fact")
     return rank.top(hits.withColumn("score", F.round("score", 6)), 10, key="doc_id").select("doc_id", "kind", "score")
 
 
@@ -82,7 +83,7 @@ RECALL_BM25 = _S + " SELECT doc_id, kind, round(score, 6) AS score FROM s JOIN r
 
 
 def recall_grouped_topn(spark: SparkSession, d: str) -> DataFrame:
-    hits = lexical.bm25(_corpus(spark, d), T.query_terms(QUERY)).withColumn("score", F.round("score", 6))
+    hits = lexical.bm25(_words(spark, d), T.query_terms(QUERY)).withColumn("score", F.round("score", 6))
     return rank.top_per(hits, ["kind"], 5, key="doc_id").select("kind", "rank", "doc_id", "score")
 
 
@@ -96,7 +97,7 @@ def recall_fenced(spark: SparkSession, d: str) -> DataFrame:
 
     f = fence_of(TENANT, now=NOW)
     keep = owned(F.col("owner"), f) & live(F.col("expires_at"), f.now)
-    hits = lexical.bm25(_corpus(spark, d), T.query_terms(QUERY), keep).withColumn("score", F.round("score", 6))
+    hits = lexical.bm25(_words(spark, d), T.query_terms(QUERY), keep).withColumn("score", F.round("score", 6))
     return rank.top(hits, 20, key="doc_id").select("doc_id", "kind", "owner", "score")
 
 
@@ -149,8 +150,8 @@ KEYWORDS = f"SELECT path, array_to_string(list_sort(list_distinct(list_filter({_
 
 
 def _code(spark: SparkSession, d: str) -> DataFrame:
-    one = _t(spark, d, "docs").groupBy("path").agg(F.max(F.struct("kind", F.coalesce("body", F.lit("")).alias("body"))).alias("r")).select("path", "r.*")
-    return one.withColumn("tokens", F.concat(T.split_ident("path"), T.split_ident("body")))
+    one = _t(spark, d, "docs").select("path", "kind", F.coalesce("body", F.lit("")).alias("body")).groupBy("path").agg(F.max("kind").alias("kind"), F.max("body").alias("body"))
+    return one.withColumn("words", T.ident_words(F.concat("path", F.lit(" "), "body")))
 
 
 _CODE = f"""WITH one AS (SELECT path, max(kind) AS kind, max(coalesce(body, '')) AS body FROM docs GROUP BY path)
@@ -179,7 +180,8 @@ RECALL_SPREAD = _SPREAD + " SELECT path, bm25, round(score, 6) AS score FROM sp"
 
 def _query_vector(vectors: DataFrame) -> list[float]:
     """The vector of the first path of the larger length stands for the query's."""
-    return vectors.filter(F.size("vec") == 128).orderBy("path").first()["vec"]
+    first = vectors.filter(F.size("vec") == 128).orderBy("path").limit(1).collect()
+    return first[0]["vec"] if first else [0.0] * 128
 
 
 def knn_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -200,7 +202,7 @@ def recall_fused(spark: SparkSession, d: str) -> DataFrame:
     spreaded = rank.spread(_pool(spark, d), _t(spark, d, "edges")).select("path", F.round("score", 6).alias("score"))
     pool = materialize(rank.top(spreaded, 200), "pool")
     vectors = rank.usable(_t(spark, d, "file_embeddings"))
-    near = rank.similarity(vectors, _query_vector(vectors)).withColumn("cosine", F.round("cosine", 6))
+    near = materialize(rank.similarity(vectors, _query_vector(vectors)).withColumn("cosine", F.round("cosine", 6)), "near")
     out = rank.fuse(pool, near, rank.nominees(near, pool))
     return out.select("path", "score", "cosine", F.round("fused", 5).alias("fused"))
 

@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 
+from cairnlake.functions.text import ident_words
 from cairnlake.operators import graph, lexical, rank
 from cairnlake.operators.fences import GLOBAL, ScopeRequired, fence_of, live, owned
 from pyspark.sql import functions as F
@@ -33,7 +34,11 @@ def test_bm25(spark, corpus):
     assert kept == {"a": got["a"]}  # statistics don't shrink with the filter
     many = lexical.bm25_many(lexical.postings(df, ["path"]), lexical.corpus_stats(df), spark.createDataFrame([("q", ["apple", "pie", "apple"])], "query_id string, terms array<string>"), ["path"])
     assert {r["path"]: round(r["score"], 9) for r in many.collect()} == {k: round(v, 9) for k, v in want.items()}
-    assert lexical.bm25(df, []).count() == 0 and lexical.bm25(df.limit(0), ["x"]).count() == 0
+    words = spark.createDataFrame([(k, " ".join(v).upper()) for k, v in docs.items()] + [("null", None)], "path string, t string").select("path", ident_words(F.col("t")).alias("words"))
+    other = {r["path"]: r["score"] for r in lexical.bm25(words, ["apple", "pie"]).collect()}
+    want = brute_bm25(docs | {"null": []}, ["apple", "pie"])
+    assert other.keys() == want.keys() and all(abs(other[k] - want[k]) < 1e-12 for k in want)
+    assert lexical.bm25(words.limit(0), ["apple"]).count() == 0 and lexical.bm25(df, []).count() == 0 and lexical.bm25(df.limit(0), ["x"]).count() == 0
 
 
 def test_fences(spark):
