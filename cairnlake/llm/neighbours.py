@@ -3,12 +3,12 @@
 Plan
 1. A bounded sample of each vector length fits two rotations (principal axes, then iterative quantisation);
    the signs of the rotated vector are a code of 256 bits.
-2. The code is cut into substrings of `bits` bits. Each substring is indexed: one row (substring no., its
-   value) -> (vector, first 128 bits). Two codes that differ in fewer bits than there are substrings agree
-   in one substring at least (pigeonhole), so every code in that radius meets in some bucket; `probes=1`
-   also looks up all values one flip away and so about doubles the certain radius.
-3. Within a bucket 128-bit distances are compared in numpy; buckets of more than `bucket_cap` entries are
-   split into pairs of blocks, so that every pair is still compared and no task holds a whole hot bucket.
+2. The code is cut into substrings of `bits` bits. Of two codes that differ in no more than `radius` bits, one
+   substring differs in radius // substrings bits at most (pigeonhole); so each substring is indexed, and looked up
+   by all values within that many flips. Width and flips follow from the radius that min_cosine needs, whatever
+   the number of vectors, so every pair in the radius is found (`substrings`).
+3. Blocks of codes are shuffled in pairs; index, lookups and 256-bit distances of a pair of blocks are arrays of one
+   task, which compares candidates in chunks.
 4. Surviving pairs are ranked by the exact cosine of the floats.
 
 Vectors that are equal bit for bit form one class; classes are compared once, and a class hands on its k+1
@@ -18,6 +18,7 @@ smallest paths, which is all that k neighbours in the order (cosine desc, path)
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,6 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 WORDS = 4
-SKETCH_BITS = 128
 #: Lengths of vectors for which rotations are learned; rarer ones get seeded random rotations.
 MAX_FITTED_DIMS = 64
 
@@ -104,118 +104,122 @@ def _encode(rotations: dict):
     return run
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x.view(np.uint64))
-
-
-def _compare(radius: int, bits: int, probes: int):
-    """Pairs (a, b) within the radius of each run of equal keys; the input is sorted by key."""
-    per_word, mask = 64 // bits, (1 << bits) - 1
-
-    def pairs(t: pa.Table):
-        key, h, c0, c1, blk = (t[n].to_numpy() for n in ("key", "h", "c0", "c1", "blk"))
-        word = t["word"].to_numpy() if not probes else None
-        tab = t["tab"].to_numpy()
-        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-        ends = np.repeat(np.append(cuts, len(key)), np.diff(np.concatenate([[0], cuts, [len(key)]])))
-        left = ends - np.arange(len(key)) - 1
-        order = np.argsort(-left, kind="stable")
-        left = left[order]
-        out = []
-        step = 1
-        while True:
-            n = np.searchsorted(-left, -step, side="right")
-            if n == 0:
-                break
-            i = order[:n]
-            j = i + step
-            x0, x1 = c0[i] ^ c0[j], c1[i] ^ c1[j]
-            keep = _popcount(x0) + _popcount(x1) <= radius
-            # off-diagonal block pairs only compare one block with the other (blk < 0: not split)
-            keep &= (blk[i] < 0) | (blk[i] != blk[j]) & (h[i] != h[j])
-            k = np.flatnonzero(keep)
-            if len(k):
-                i, j, x0, x1 = i[k], j[k], x0[k], x1[k]
-                if not probes:  # a pair that an earlier substring of the first two words finds is left to it
-                    earlier = np.zeros(len(k), dtype=bool)
-                    for w, x in ((0, x0), (1, x1)):
-                        for s in range(per_word):
-                            earlier |= (((x >> (s * bits)) & mask) == 0) & (w * per_word + s < tab[i])
-                    i, j = i[~earlier], j[~earlier]
-                out.append(np.stack([np.minimum(h[i], h[j]), np.maximum(h[i], h[j])]))
-            step += 1
-        if not out:
-            return None
-        p = np.unique(np.concatenate(out, axis=1), axis=1)
-        p = p[:, p[0] != p[1]]
-        return pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], ["a", "b"])
+def _masks(bits: int, flips: int) -> np.ndarray:
+    """All values of `bits` bits with at most `flips` ones."""
+    return np.array([sum(1 << i for i in c) for n in range(flips + 1) for c in combinations(range(bits), n)], dtype=np.int64)
+
+
+def substrings(min_cosine: float, probes: int = 0, bits: int | None = None) -> tuple[int, int, int]:
+    """(bits, flips, radius): the width of the substrings, the flips in which each is looked up, and the distance of
+    256-bit codes up to which every pair is then certain to meet.
+
+    The radius holds the mean of differing bits at min_cosine plus three standard deviations. Two codes in it differ
+    in radius // substrings bits of one substring at most. Of the widths the cheapest is taken; the number of
+    vectors has no part in it.
+    """
+    p = math.acos(max(-1.0, min(1.0, min_cosine))) / math.pi
+    n = WORDS * 64
+    least = min(n, int(n * p + 3 * math.sqrt(n * p * (1 - p))))
+
+    def plan(width: int) -> tuple[float, int, int, int]:
+        tabs = WORDS * (64 // width)
+        flips = min(width, max(probes, least // tabs))
+        lookups = tabs * sum(math.comb(width, i) for i in range(flips + 1))
+        return lookups * (2.0**-width + 2.0**-12), width, flips, max(least, tabs * (flips + 1) - 1)
+
+    return min(plan(w) for w in ([bits] if bits else range(4, 21)))[1:]
+
+
+#: Candidates compared at once.
+CHUNK = 1 << 20
+
+
+def _near(a: list[np.ndarray], b: list[np.ndarray], same: bool, bits: int, masks: np.ndarray, radius: int) -> np.ndarray:
+    """Positions (2, n) of the codes of a and b within the radius, by an index of b on each substring."""
+    low, out = (1 << bits) - 1, [np.zeros((2, 0), dtype=np.int64)]
+    for word in range(WORDS):
+        for s in range(64 // bits):
+            va, vb = ((x[word] >> (s * bits)) & low for x in (a, b))
+            order = np.argsort(vb, kind="stable")
+            codes = [x[order] for x in b]
+            first = np.concatenate([[0], np.cumsum(np.bincount(vb, minlength=low + 1))])
+            for some in np.array_split(masks, -(-len(masks) * len(va) // CHUNK)):
+                v = (some[:, None] ^ va).ravel()
+                at = first[v]
+                many = first[v + 1] - at
+                hit = np.flatnonzero(many)
+                ends = np.cumsum(many[hit])
+                cuts = np.searchsorted(ends, np.arange(CHUNK, ends[-1], CHUNK)) + 1 if len(hit) else []
+                for part in np.split(hit, cuts):
+                    m = many[part]
+                    i = np.repeat(part % len(va), m)
+                    j = np.arange(len(i)) + np.repeat(at[part] - (np.cumsum(m) - m), m)
+                    far = np.zeros(len(i), dtype=np.int64)
+                    for x, y in zip(a, codes):
+                        far = far + np.bitwise_count((x[i] ^ y[j]).view(np.uint64))
+                        keep = np.flatnonzero(far <= radius)
+                        i, j, far = i[keep], j[keep], far[keep]
+                    if len(i):
+                        found = np.stack([i, order[j]])
+                        out.append(found[:, found[0] < found[1]] if same else found)
+        out = [np.unique(np.concatenate(out, axis=1), axis=1)]
+    return out[0]
+
+
+def _compare(bits: int, flips: int, radius: int):
+    """Pairs (a, b) within the radius of each run of equal keys (pairs of blocks); the input is sorted by key."""
+    names = ["h", "own", *[f"c{i}" for i in range(WORDS)]]
+
+    def pairs(chunks: list[pa.RecordBatch], masks: np.ndarray):
+        t = pa.Table.from_batches(chunks)
+        h, own, *code = (t[n].to_numpy() for n in names)
+        same = t["same"][0].as_py()
+        left, right = (np.flatnonzero(own == 0), np.flatnonzero(own == (0 if same else 1)))
+        if len(left) and len(right):
+            i, j = _near([c[left] for c in code], [c[right] for c in code], same, bits, masks, radius)
+            if len(i):
+                x, y = h[left[i]], h[right[j]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     def run(batches):
-        rest = None
+        masks, held, last = _masks(bits, flips), [], None
         for b in batches:
             if not b.num_rows:
                 continue
-            t = pa.Table.from_batches([b])
-            t = t if rest is None else pa.concat_tables([rest, t])
-            last = t["key"][-1].as_py()
-            key = t["key"].to_numpy()
-            at = int(np.searchsorted(key, last))
-            rest = t.slice(at)
-            if at and (r := pairs(t.slice(0, at))) is not None:
-                yield r
-        if rest is not None and (r := pairs(rest)) is not None:
-            yield r
+            key = b.column("key").to_numpy()
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if held and key[lo] != last:
+                    yield from pairs(held, masks)
+                    held = []
+                last = key[lo]
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from pairs(held, masks)
 
     return run
 
 
-def _buckets(codes: DataFrame, bits: int, probes: int) -> DataFrame:
-    """(key, tab, h, c0, c1): a row for every substring of a code, and for its flips if probed."""
-    per_word, mask = 64 // bits, (1 << bits) - 1
-    entries = []
-    for w in range(WORDS):
-        for s in range(per_word):
-            value = F.shiftrightunsigned(F.col(f"c{w}"), s * bits).bitwiseAND(F.lit(mask).cast("long"))
-            tab = w * per_word + s
-            for flip in [0, *[1 << i for i in range(bits)]][: 1 + bits * probes]:
-                v = value.bitwiseXOR(F.lit(flip).cast("long"))
-                packed = v + F.col("dim").cast("long") * (1 << 32) + F.lit(tab << bits)
-                entries.append(F.struct(packed.alias("key"), F.lit(tab).cast("short").alias("tab")))
-    return codes.select("h", "c0", "c1", F.explode(F.array(*entries)).alias("e")).select("e.key", "e.tab", "h", "c0", "c1")
+#: Blocks of a length of vectors; each code is sent to as many pairs of blocks.
+MAX_BLOCKS = 32
 
 
 def candidate_pairs(codes: DataFrame, classes: int, min_cosine: float, probes: int = 0, bucket_cap: int = 4096, bits: int | None = None) -> DataFrame:
-    """Distinct pairs (a < b) of codes that share a bucket and whose first 128 bits differ little enough.
+    """Pairs (a < b) of codes of the same length of vector that differ in no more bits than substrings() says.
 
-    The radius is the mean of differing bits at min_cosine plus 2.5 standard deviations.
+    `probes` flips are looked up at least. Codes lie in blocks of about bucket_cap, or larger ones once there are
+    MAX_BLOCKS; each pair of blocks is indexed and looked up on its own, so no flip is shuffled.
     """
-    spark = codes.sparkSession
-    p = math.acos(max(-1.0, min(1.0, min_cosine))) / math.pi
-    radius = int(SKETCH_BITS * p + 2.5 * math.sqrt(SKETCH_BITS * p * (1 - p)))
-    bits = bits or int(min(20, max(12, math.ceil(math.log2(max(classes, 2) / 256)))))
-    rows = _buckets(codes, bits, probes)
-    hot = rows.groupBy("key").count().filter(F.col("count") > bucket_cap).select("key", F.ceil(F.col("count") / bucket_cap).cast("int").alias("parts"))
-    hot = materialize(hot, "hot-buckets")
-    n_hot = hot.count()
-    plain = F.lit(-1).cast("int")
-    if n_hot == 0:
-        spread = rows.withColumn("blk", plain)
-    else:
-        side = F.broadcast(hot) if n_hot <= 100_000 else hot
-        block = F.pmod(F.xxhash64("h"), F.col("parts")).cast("int")
-        joined = rows.join(side, "key", "left").withColumn("r", block)
-        other = F.explode(F.when(F.col("parts").isNull(), F.array(plain)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
-        wide = joined.withColumn("o", other)
-        lo, hi = F.least("r", "o"), F.greatest("r", "o")
-        spread = wide.select(
-            F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", lo, hi)).alias("key"), "tab", "h", "c0", "c1",
-            F.when(F.col("parts").isNull() | (F.col("r") == F.col("o")) & (lo == hi), plain).otherwise(F.col("r")).alias("blk"),
-        )
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), classes * 64 // bits * WORDS // 2_000_000 + 1)
-    run = spread.repartition(parts, "key").sortWithinPartitions("key")
-    if not probes:
-        run = run.withColumn("word", F.lit(0).cast("short"))
-    return run.mapInArrow(_compare(radius, bits, probes), "a long, b long").distinct()
+    bits, flips, radius = substrings(min_cosine, probes, bits)
+    blocks = F.least(F.ceil(F.count("*") / bucket_cap), F.lit(MAX_BLOCKS)).cast("int")
+    sizes = codes.groupBy("dim").agg(blocks.alias("blocks"))
+    r = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
+    wide = codes.join(sizes, "dim").withColumn("r", r).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    lo, hi = F.least("r", "o"), F.greatest("r", "o")
+    key = (F.col("dim").cast("long") * MAX_BLOCKS + lo) * MAX_BLOCKS + hi
+    rows = wide.select(key.alias("key"), (lo == hi).alias("same"), (F.col("r") != lo).cast("byte").alias("own"), "h", *[f"c{i}" for i in range(WORDS)])
+    parts = max(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(classes // bucket_cap + 1, MAX_BLOCKS * (MAX_BLOCKS + 1) // 2))
+    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_compare(bits, flips, radius), "a long, b long")
 
 
 def similar_vectors(df: DataFrame, k: int = 10, min_cosine: float = 0.88, sample: int = 8192, probes: int = 0, bucket_cap: int = 4096) -> DataFrame:

@@ -58,6 +58,22 @@ def test_neighbours_equal_brute_force(spark):
     assert {tuple(r) for r in neighbours.similar_pairs(df, 3, 0.9, probes=1).collect()} == want
 
 
+@pytest.mark.parametrize("bits", [None, 12, 16, 20])
+def test_codes_in_the_radius_meet_whatever_the_number_of_rows(spark, bits):
+    """Differing bits spread evenly over the code are the worst case of an index on substrings."""
+    rng = np.random.default_rng(5)
+    rows, want = [], set()
+    for n, differ in enumerate((1, 20, 30, 41, 50, 57)):
+        code = rng.integers(0, 2, 256, dtype=np.uint8)
+        other = code.copy()
+        other[(np.arange(differ) * 256) // differ] ^= 1
+        for h, c in ((2 * n, code), (2 * n + 1, other)):
+            rows.append((h, 32, *np.packbits(c, bitorder="little").view(np.int64).tolist()))
+        want.add((2 * n, 2 * n + 1))
+    df = spark.createDataFrame(rows, "h long, dim int, c0 long, c1 long, c2 long, c3 long")
+    assert {tuple(r) for r in neighbours.candidate_pairs(df, 1 << 20, 0.88, bits=bits).collect()} == want
+
+
 def test_many_copies_and_no_rows(spark):
     rows = [(f"c{i:03d}", 2, [1.0, 2.0], "", 0) for i in range(60)]
     got = neighbours.similar_vectors(spark.createDataFrame(rows, VEC), 3)
