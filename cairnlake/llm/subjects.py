@@ -2,18 +2,17 @@
 
 1. Every text is cut into sentences (list items, turns, comments); a sentence is the set of its words and
    neighbouring word pairs, spelt so that swapped letters don't matter.
-2. Items whose sentences lie in one subject's documents more often than chance are kept; parallel
-   frequent-pattern growth extends those that are not certain alone by the items of their conditional
-   pattern bases (to two items: sentences of one template share many words, so longer patterns would only
-   spell out templates), and a rule items -> subject gets its smoothed confidence as evidence. A rule is redundant if a part of its items
-   gives the same subject at least as surely.
+2. Parallel frequent-pattern growth: every item of sufficient support grows by the items of its conditional pattern
+   base, sharded by item, to any length. What is left out gives no rule: patterns that lie in the same sentences as
+   a part of theirs, and what extends a pattern of one subject. A rule items -> subject gets its smoothed confidence
+   as evidence; it is redundant if a part of its items gives the same subject at least as surely.
 3. A sentence has the subject for which its rules give the most evidence, if that reaches a threshold
    calibrated on the labelled documents; a document has each subject of at least a third of its sentences.
 4. Hand labels cover few documents and words. So the rules mined from them score all documents, and the
    documents that got exactly one subject are the examples of the next round, which covers every word.
 
-What is broadcast are rules; a rule needs `share` of the sentences mined (3 at least), so their number is at
-most the mean number of items of a sentence / share, whatever the size of the corpus.
+What is broadcast are rules and the items that grow; an item needs the support of a pattern, so their number is at
+most the mean number of items of a sentence / MIN_PATTERN. Rules of many items are only bounded by their support.
 """
 
 from __future__ import annotations
@@ -24,6 +23,7 @@ import re
 import unicodedata
 from collections import Counter
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from ..session import materialize
 
 NONE = "-"
 PART = 1 / 3
-#: Least share of the sentences that must hold a pair of items.
+#: Least share of the sentences that must hold a pattern of several items.
 MIN_PATTERN = 1e-4
 
 _hidden = regex.compile(r"[^\P{C}\n\t]")
@@ -101,6 +101,90 @@ def _mined(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(wanted, "doc_id").select("text", "kind", F.concat_ws("|", tongue, "subject").alias("subject")).mapInArrow(run, "subject string, items array<string>")
 
 
+def patterns(base: list[tuple[tuple[int, ...], str, int]], at: tuple[int, ...], n: int, support: int, weight: dict[str, float], least):
+    """(pattern, n, weighted counts by subject) of every pattern that extends `at` by items of its conditional
+    pattern base (items before the last, subject, count).
+
+    An item that lies in all n sentences of `at` adds nothing to it or to anything grown from it, and a pattern whose
+    sentences are all of one subject can't become surer: neither is grown, and no rule is lost by that. `least(counts)`
+    says if a pattern can still lead to a rule.
+    """
+    count: dict[int, dict[str, int]] = {}
+    for x, s, c in base:
+        for i in x:
+            by = count.setdefault(i, {})
+            by[s] = by.get(s, 0) + c
+    for i, by in count.items():
+        m = sum(by.values())
+        if m < support or m == n:
+            continue
+        k: dict[str, float] = {}
+        for s, c in by.items():
+            name = s.split("|", 1)[1]
+            k[name] = k.get(name, 0.0) + c * weight[s]
+        if not least(k):
+            continue
+        found = (*at, i)
+        yield found, m, k
+        if len(k) > 1:
+            inner: Counter = Counter()
+            for x, s, c in base:
+                if i in x:
+                    inner[x[: x.index(i)], s] += c
+            yield from patterns([(x, s, c) for (x, s), c in inner.items() if x], found, m, support, weight, least)
+
+
+#: Shards of items; a sentence goes to those of its items.
+SHARDS = 1024
+
+
+def _grown(told: DataFrame, growing: list[str], weight: dict, alone: dict, support: int, sure: float, strength: float, even: float) -> list[tuple[tuple[str, ...], str, float]]:
+    """Rules of two items and more by parallel frequent-pattern growth: a shard grows the patterns whose rarest item
+    is its own, from the items before that one in the order of frequency."""
+    shared = told.sparkSession.sparkContext.broadcast((growing, weight, alone))
+
+    def cut(batches):
+        rank = {x: n for n, x in enumerate(shared.value[0])}
+        for b in batches:
+            seen = Counter((s, tuple(sorted(rank[i] for i in x if i in rank))) for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            rows = []
+            for (s, ids), c in seen.items():
+                sent = set()
+                for p in range(len(ids) - 1, 0, -1):
+                    if (g := ids[p] % SHARDS) not in sent:
+                        sent.add(g)
+                        rows.append((g, s, ids[: p + 1], c))
+            cols = list(zip(*rows)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pa.int64())], ["shard", "subject", "ids", "n"])
+
+    def grow(table: pa.Table) -> pa.Table:
+        names, weights, single = shared.value
+        own: dict[int, list] = {}
+        shard = table["shard"][0].as_py()
+        for s, x, c in zip(*(table[n].to_pylist() for n in ("subject", "ids", "n"))):
+            for p, i in enumerate(x):
+                if p and i % SHARDS == shard:
+                    own.setdefault(i, []).append((tuple(x[:p]), s, c))
+        out = []
+        # with k sentences of a subject, evidence is at most this
+        may = lambda k: any(s != NONE and (c + even) / (c + strength) >= sure for s, c in k.items())
+        for i, base in own.items():
+            for x, _, k in patterns(base, (i,), -1, support, weights, may):
+                s = max((s for s in k if s != NONE), key=lambda s: (k[s], s), default=None)
+                if s is None:
+                    continue
+                e = (k[s] + even) / (sum(k.values()) + strength)
+                words = tuple(sorted(names[j] for j in x))
+                if e >= sure and all(single.get(j, {}).get(s, 0) < e for j in words):
+                    out.append((list(words), s, e))
+        cols = list(zip(*out)) or [(), (), ()]
+        return pa.table([pa.array(cols[0], pa.list_(pa.string())), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], ["items", "subject", "e"])
+
+    cuts = told.mapInArrow(cut, "shard int, subject string, ids array<int>, n long").groupBy("shard", "subject", "ids").agg(F.sum("n").alias("n"))
+    found = cuts.groupBy("shard").applyInArrow(grow, "items array<string>, subject string, e double")
+    return [(tuple(r["items"]), r["subject"], r["e"]) for r in found.toArrow().to_pylist()]
+
+
 def mine(docs: DataFrame, wanted: DataFrame, share: float = 1e-5, sure: float = 0.5, strength: float = 2.0) -> list[tuple[tuple[str, ...], str, float]]:
     """Rules (items, subject, evidence) from documents with one subject each; NONE is a subject here.
 
@@ -127,38 +211,21 @@ def mine(docs: DataFrame, wanted: DataFrame, share: float = 1e-5, sure: float =
     evidence = (F.col("top.k") + even) / (F.col("k") + strength)
     leaning = per_item.filter((F.col("n") >= least) & (evidence >= 0.3)).select("item", F.col("top.s").alias("s"), evidence.alias("e"))
     rules = {((r["item"],), r["s"]): r["e"] for r in leaning.toArrow().to_pylist()}
-    if not rules:
-        return []
-    shared = told.sparkSession.sparkContext.broadcast(frozenset(x[0] for x, _ in rules))
-
-    # what is certain on its own needs no company: patterns are grown from items that are not
-    shared = told.sparkSession.sparkContext.broadcast(frozenset(x[0] for (x, _), e in rules.items() if e < 0.9))
-
-    def grow(batches):
-        have = shared.value
-        for b in batches:
-            base: Counter = Counter()
-            for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = sorted(i for i in x if i in have)
-                for at, i in enumerate(own):  # the items behind i are its conditional pattern base
-                    for j in own[at + 1 :]:
-                        base[i, j, s] += 1
-            keys = list(base)
-            yield pa.RecordBatch.from_arrays(
-                [*[pa.array([k[n] for k in keys], pa.string()) for n in range(3)], pa.array([base[k] for k in keys], pa.int64())], ["i", "j", "subject", "n"]
-            )
-
     support = max(least, math.ceil(MIN_PATTERN * n), 3)
-    grown = told.mapInArrow(grow, "i string, j string, subject string, n long").withColumn("k", F.col("n") * weights[F.col("subject")])
-    by = grown.groupBy("i", "j", F.substring_index("subject", "|", -1).alias("subject")).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    sets = by.groupBy("i", "j").agg(
-        F.sum("n").alias("n"), F.sum("k").alias("k"), F.max(F.when(F.col("subject") != NONE, F.struct(F.col("k").alias("k"), F.col("subject").alias("s")))).alias("top")
-    )
-    for r in sets.filter((F.col("n") >= support) & (evidence >= sure)).select("i", "j", F.col("top.s").alias("s"), evidence.alias("e")).toArrow().to_pylist():
-        rules[((r["i"], r["j"]), r["s"])] = r["e"]
+    # every item of sufficient support grows, whatever it says alone; all sentences of a pure one are of one subject,
+    # so no pattern with it can be surer
+    several = single.groupBy("item").agg(F.countDistinct("subject").alias("subjects")).filter("subjects > 1").select("item")
+    growing = [r["item"] for r in per_item.filter(F.col("n") >= support).join(several, "item").orderBy(F.desc("n"), "item").select("item").toArrow().to_pylist()]
+    alone: dict[str, dict[str, float]] = {}
+    for ((i,), s), e in rules.items():
+        alone.setdefault(i, {})[s] = e
+    plain = {f"{t}|{s}": w for (t, s), w in weight.items()}
+    for x, s, e in _grown(told, growing, plain, alone, support, sure, strength, even):
+        rules[(x, s)] = max(e, rules.get((x, s), 0))
     out = []
     for (x, s), e in rules.items():
-        if e >= sure and not (len(x) > 1 and any(rules.get(((i,), s), 0) >= e for i in x)):
+        parts = (y for k in range(1, len(x)) for y in combinations(x, k))
+        if e >= sure and not any(rules.get((y, s), 0) >= e for y in parts):
             out.append((x, s, round(e, 6)))
     return sorted(out)
 

@@ -296,6 +296,25 @@ TERMS = {"sport": "goalkeeper penalty marathon relay referee offside".split(), "
 FRAMES = ["What matters is the {0}; the {1} can wait.", "Notes on the {0}: first seen, then compared with the {1}.", "Open question: who saw the {0} near the {1}?"]
 
 
+def test_rules_of_words_that_say_nothing_alone(spark):
+    """The subject follows from two words, or three, each of which is spread evenly over five subjects."""
+    n, docs, wanted, pairs, triples = 5, [], [], set(), set()
+    for i in range(n):
+        for j in range(n):
+            a, b, c = (f"{x}{chr(97 + v)}" for x, v in (("pa", i), ("qa", j), ("ta", j)))
+            pairs.add(((a, b), f"s{(i + j) % n}"))
+            for k in range(n):
+                d, e = f"ra{chr(97 + i)}", f"ua{chr(97 + k)}"
+                triples.add((tuple(sorted((d, c, e))), f"s{(i + j + k) % n}"))
+                for _ in range(4):
+                    for t, s in ((f"{a} of {b}", i + j), (f"{d} of {c} of {e}", i + j + k)):
+                        docs.append((len(docs), t, "doc", "en"))
+                        wanted.append((len(wanted), f"s{s % n}"))
+    d = spark.createDataFrame(docs, "doc_id long, text string, kind string, lang string")
+    rules = subjects.mine(d, spark.createDataFrame(wanted, "doc_id long, subject string"))
+    assert pairs | triples <= {(x, s) for x, s, _ in rules}
+
+
 def test_subjects(spark):
     rng = random.Random(9)
     docs, truth = [], {}
