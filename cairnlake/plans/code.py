@@ -47,11 +47,14 @@ def signatures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def change_impact(spark: SparkSession, d: str) -> DataFrame:
-    """What a change of each class would touch."""
+    """What a change of each defined symbol would touch, callers under re-exported names included."""
     docs = materialize(_code(spark, d), "code")
     chunks = materialize(parse.chunk_files(docs).withColumn("id", F.xxhash64("path", "nth")), "chunks")
-    want = chunks.filter("node_type IN ('class_declaration', 'class_definition')").select("symbol")
-    out = graph.impact(chunks, docs, parse.call_sites(docs), chunks.select("id", "complexity"), want)
+    calls = materialize(parse.call_sites(docs), "calls")
+    placed = lambda df: df.join(graph.resolve_targets(df.select("path", "specifier"), docs.select("path")), ["path", "specifier"])
+    barrels = placed(parse.reexports(docs)).select(F.col("path").alias("barrel"), "symbol", "alias")
+    bindings = placed(parse.import_bindings(docs)).select("path", F.col("target").alias("barrel"), "alias", "local")
+    out = graph.impact(chunks, docs, calls, chunks.select("id", "complexity"), alias_calls=graph.alias_callers(barrels, bindings, calls))
     return out.select("symbol", "defs", "mentions", "confirmed", "ref_count", "risk", "complexity", F.array_join("callees", " ").alias("callees"), F.array_join("hedges", "; ").alias("hedges"))
 
 

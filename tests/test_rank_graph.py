@@ -113,3 +113,18 @@ def test_quality(spark):
     assert abs(r["mrr"] - (1 + 0.25) / 3) < 1e-12 and abs(r["p_at_5"] - 2 / 3) < 1e-12
     a = spark.createDataFrame([(0.1, False), (0.4, True), (0.4, False), (0.8, True)], "s double, y boolean")
     assert abs(rank.auc(a, "s", "y").first()["auc"] - 0.875) < 1e-12
+
+
+def test_change_impact_asks_every_symbol_and_renamed_callers(spark, tmp_path):
+    from cairnlake.plans import code
+
+    files = {
+        "a/core.js": "export function build(x) {\n  return x;\n}\n",
+        "a/index.js": "export { build as make } from './core.js';\n",
+        "a/use.js": "import { make } from './index.js';\nexport function run() {\n  return make(1);\n}\n",
+    }
+    docs = spark.createDataFrame([(p, "code", "js", b) for p, b in files.items()], "path string, kind string, format string, body string")
+    docs.write.parquet(f"{tmp_path}/docs.parquet")
+    got = {r["symbol"]: r for r in code.change_impact(spark, str(tmp_path)).collect()}
+    assert {"build", "run"} <= set(got)
+    assert got["build"]["confirmed"] == 1 and "make" in got["build"]["hedges"]
