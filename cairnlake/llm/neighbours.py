@@ -1,23 +1,28 @@
 """The k most similar vectors of every vector: multi-index hashing over learned binary codes.
 
 Plan
-1. A bounded sample of each vector length fits two rotations (principal axes, then iterative quantisation);
-   the signs of the rotated vector are a code of 256 bits.
-2. The code is cut into substrings of `bits` bits. Of two codes that differ in no more than `radius` bits, one
-   substring differs in radius // substrings bits at most (pigeonhole); so each substring is indexed, and looked up
-   by all values within that many flips. Width and flips follow from the radius that min_cosine needs, whatever
-   the number of vectors, so every pair in the radius is found (`substrings`).
-3. Blocks of codes are shuffled in pairs; index, lookups and 256-bit distances of a pair of blocks are arrays of one
-   task, which compares candidates in chunks.
-4. Surviving pairs are ranked by the exact cosine of the floats.
+1. A bounded sample of each vector length fits rotations (principal axes, then iterative quantisation); the signs of
+   the rotated vector are its code. The code is cut into substrings of WIDTH bits, and each is indexed (a table).
+2. The number of tables is measured, not derived from the number of vectors: as many as it takes for the share RECALL
+   of pairs at exactly min_cosine to meet in one of them (`fit_rotation`). Of two codes that differ in fewer than
+   2 x tables bits, one substring differs in one bit at most (pigeonhole), so these meet for certain.
+3. The first KEY bits of a substring are the shuffle key; index and lookups with flips of the other LOW bits are arrays
+   of one task, so no flip is shuffled. A row of the shuffle packs all codes of a batch that have one key.
+4. Pairs within the radius on CHECK bits whose distance is near the k smallest of one of the two are ranked by the
+   exact cosine of the floats.
 
 Vectors that are equal bit for bit form one class; classes are compared once, and a class hands on its k+1
 smallest paths, which is all that k neighbours in the order (cosine desc, path) can need.
+
+`certain=True` instead retrieves every pair of 256-bit codes within the radius, blocks of codes against blocks. Its work
+grows with the square of the vectors.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -28,6 +33,14 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 WORDS = 4
+#: Bits of a substring, of its shuffle key and of the rest; bits on which candidates are checked.
+WIDTH, KEY, CHECK = 20, 6, 128
+LOW = WIDTH - KEY
+#: Share of the pairs at exactly min_cosine that must meet in a table.
+RECALL = 0.96
+MAX_TABLES = 128
+#: Codes that share a shuffle key go to one task; more than this are split by further bits of their substring.
+GROUP_ROWS = 1 << 20
 #: Lengths of vectors for which rotations are learned; rarer ones get seeded random rotations.
 MAX_FITTED_DIMS = 64
 
@@ -48,26 +61,85 @@ def _orthogonal(d: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def fit_rotation(x: np.ndarray | None, d: int, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:
-    """(centre, planes of shape (d, 256)): iterative quantisation from several starts, side by side."""
-    starts = -(-WORDS * 64 // d)
+@dataclass(frozen=True)
+class Rotation:
+    """How vectors of one length are coded: centre, planes (d, tables x WIDTH), and the radius on the check bits."""
+
+    centre: np.ndarray
+    planes: np.ndarray
+    tables: int
+    radius: int
+
+    def bits(self, x: np.ndarray) -> np.ndarray:
+        """(n, tables x WIDTH) booleans of unit vectors."""
+        return (x.astype(np.float32) - self.centre) @ self.planes > 0
+
+
+def _substrings(bits: np.ndarray) -> np.ndarray:
+    """(n, tables) numbers of WIDTH bits."""
+    return bits.reshape(len(bits), -1, WIDTH) @ (1 << np.arange(WIDTH, dtype=np.int64))
+
+
+def _check_words(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits[:, :CHECK], axis=1, bitorder="little").view(np.uint64)
+
+
+def _meet(diff: np.ndarray, flips: int) -> np.ndarray:
+    """Whether two substrings with this difference meet in a table: one key, and so many flips of the rest."""
+    return ((diff >> LOW) == 0) & (np.bitwise_count(diff) <= flips)
+
+
+def fit_rotation(x: np.ndarray | None, d: int, min_cosine: float, flips: int = 1, recall: float = RECALL, rounds: int = 15) -> Rotation:
+    """Planes by iterative quantisation from several starts, as many as `recall` takes.
+
+    The recall is measured: each of up to 2,000 rows of the sample gets a neighbour at exactly min_cosine in a random
+    direction, and tables are added until that share of these pairs meets in one of them (or there are MAX_TABLES).
+    The radius is the mean of their differing check bits plus three standard deviations.
+    """
+    rng = np.random.default_rng(d)
     if x is None or len(x) < 4 * d:
         centre, axes, v = np.zeros(d), np.eye(d), None
+        x = rng.standard_normal((2000, d))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
     else:
         centre = x.mean(0)
-        _, axes = np.linalg.eigh(np.cov((x - centre).T))
+        _, axes = np.linalg.eigh(np.cov((x - centre).T).reshape(d, d))
         v = (x - centre) @ axes
-    planes = []
-    for k in range(starts):
-        r = _orthogonal(d, 7919 * k + d)
-        for _ in range(rounds if v is not None else 0):
-            u, _, w = np.linalg.svd(np.sign(v @ r).T @ v)
-            r = (u @ w).T
-        planes.append(axes @ r)
-    return centre.astype(np.float32), np.concatenate(planes, axis=1)[:, : WORDS * 64].astype(np.float32)
-
-
-def fit(usable: DataFrame, rows: int, sample: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    some = x[:2000]
+    u = rng.standard_normal(some.shape)
+    u -= (u * some).sum(1, keepdims=True) * some
+    length = np.linalg.norm(u, axis=1, keepdims=True)
+    near = min_cosine * some + math.sqrt(max(0.0, 1 - min_cosine**2)) * np.divide(u, length, out=np.zeros_like(u), where=length > 1e-9)
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    planes, k = np.zeros((d, 0)), 0
+    for tables in (*range(8, MAX_TABLES, 8), MAX_TABLES):
+        while planes.shape[1] < tables * WIDTH:
+            r = _orthogonal(d, 7919 * k + d)
+            for _ in range(rounds if v is not None else 0):
+                w, _, z = np.linalg.svd(np.sign(v @ r).T @ v)
+                r = (w @ z).T
+            planes, k = np.concatenate([planes, axes @ r], axis=1), k + 1
+        mine = planes[:, : tables * WIDTH]
+        # planes of one rotation hang together; spread over the tables they fail independently
+        mine = mine[:, np.random.default_rng(tables).permutation(mine.shape[1])].astype(np.float32)
+        out = Rotation(centre.astype(np.float32), mine, tables, 0)
+        a, b = out.bits(some), out.bits(near)
+        met = np.cumsum(_meet(_substrings(a) ^ _substrings(b), flips), axis=1) > 0
+        enough = np.flatnonzero(met.mean(0) >= recall)
+        if len(enough) or tables == MAX_TABLES:
+            n = max(int(enough[0]) + 1 if len(enough) else MAX_TABLES, -(-CHECK // WIDTH))
+            far = (a != b)[:, :CHECK].sum(1)
+            return Rotation(out.centre, mine[:, : n * WIDTH], n, math.ceil(far.mean() + 3 * far.std()))
+    raise AssertionError
+
+
+@lru_cache(maxsize=256)
+def _unlearned(d: int, min_cosine: float, flips: int) -> Rotation:
+    """The rotation of a length that the sample doesn't hold; the same on every machine."""
+    return fit_rotation(None, d, min_cosine, flips)
+
+
+def fit(usable: DataFrame, rows: int, sample: int, min_cosine: float, flips: int) -> dict[int, Rotation]:
     """Rotations by length from about `sample` rows picked by hash (2 x sample at most reach the driver)."""
     share = min(1.0, sample / max(rows, 1))
     picked = usable.filter(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("dim", "vec").limit(2 * sample).toArrow()
@@ -76,34 +148,220 @@ def fit(usable: DataFrame, rows: int, sample: int) -> dict[int, tuple[np.ndarray
     out = {}
     for d in lengths[np.argsort(-counts)][:MAX_FITTED_DIMS]:
         x = np.asarray(picked.filter(pa.array(dims == d))["vec"].combine_chunks().flatten(), dtype=np.float64).reshape(-1, d)
-        out[int(d)] = fit_rotation(x / np.linalg.norm(x, axis=1, keepdims=True), int(d))
+        out[int(d)] = fit_rotation(x / np.linalg.norm(x, axis=1, keepdims=True), int(d), min_cosine, flips)
     return out
 
 
-def _encode(rotations: dict):
-    names = ["h", "dim", *[f"c{i}" for i in range(WORDS)]]
-
+def _encode(rotations: dict[int, Rotation], min_cosine: float, flips: int):
     def run(batches):
-        known = dict(rotations)
         for b in batches:
-            t = b.num_rows
             dims, vec = b.column("dim").to_numpy(), b.column("vec")
-            words = np.zeros((t, WORDS), dtype=np.int64)
+            codes: list[bytes] = [b""] * b.num_rows
             for d in np.unique(dims):
                 rows = np.flatnonzero(dims == d)
-                if int(d) not in known:
-                    known[int(d)] = fit_rotation(None, int(d))
-                centre, planes = known[int(d)]
+                rotation = rotations.get(int(d)) or _unlearned(int(d), min_cosine, flips)
                 x = np.asarray(vec.take(pa.array(rows)).flatten(), dtype=np.float32).reshape(-1, d)
-                top = np.abs(x).max(1, keepdims=True)
-                x = x / top
+                x = x / np.abs(x).max(1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                words[rows] = np.packbits((x - centre) @ planes > 0, axis=1, bitorder="little").view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("dim"), *[pa.array(words[:, i]) for i in range(WORDS)]], names)
+                for i, c in zip(rows, np.packbits(rotation.bits(x), axis=1, bitorder="little")):
+                    codes[i] = c.tobytes()
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("dim"), pa.array(codes, pa.binary())], ["h", "dim", "code"])
+
+    return run
+
+
+def _unpacked(b: pa.RecordBatch):
+    """(d, rows, bits) for each length of vectors in a batch of codes."""
+    dims, code = b.column("dim").to_numpy(), b.column("code")
+    for d in np.unique(dims):
+        rows = np.flatnonzero(dims == d)
+        raw = np.frombuffer(b"".join(code.take(pa.array(rows)).to_pylist()), dtype=np.uint8).reshape(len(rows), -1)
+        yield int(d), rows, np.unpackbits(raw, axis=1, bitorder="little")
+
+
+# --- retrieval by tables
+
+
+def _keys(d: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, rest) of shape (n, tables): the group of each substring and its LOW bits."""
+    sub = _substrings(bits[:, : bits.shape[1] // WIDTH * WIDTH])
+    table = np.arange(sub.shape[1], dtype=np.int64)
+    return (((d * MAX_TABLES + table) << KEY) + (sub >> LOW)) << LOW, sub & ((1 << LOW) - 1)
+
+
+def _count_keys(batches):
+    for b in batches:
+        for d, _, bits in _unpacked(b):
+            key, n = np.unique(_keys(d, bits)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+
+
+def _pack(crowded: dict[int, int]):
+    """Rows (key, n, data): the codes of a batch with one key; data has their h, check bits and LOW bits.
+
+    The key of a crowded group also has so many of the LOW bits, so that groups stay small; of these no flips are
+    looked up.
+    """
+
+    def run(batches):
+        for b in batches:
+            hs = b.column("h").to_numpy()
+            for d, rows, bits in _unpacked(b):
+                keys, rest = _keys(d, bits)
+                if crowded:
+                    more = np.zeros_like(keys)
+                    for key in np.unique(keys):
+                        if e := crowded.get(int(key)):
+                            more[keys == key] = ((1 << e) - 1) << (LOW - e)
+                    keys = keys + (rest & more)
+                check, h = _check_words(bits), hs[rows]
+                order = np.argsort(keys, axis=None, kind="stable")
+                flat, owner = keys.ravel()[order], order // keys.shape[1]
+                low = rest.ravel()[order].astype(np.uint16)
+                cut = np.flatnonzero(np.diff(flat, prepend=-1))
+                data = [
+                    b"".join((h[o].tobytes(), check[o].tobytes(), low[i:j].tobytes()))
+                    for i, j, o in ((i, j, owner[i:j]) for i, j in zip(cut, np.append(cut[1:], len(flat))))
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(flat[cut]), pa.array(np.diff(np.append(cut, len(flat))).astype(np.int32)), pa.array(data, pa.binary())], ["key", "n", "data"])
 
     return run
 
 
+def _candidates(sub: np.ndarray, masks: np.ndarray):
+    """Positions (i, j) of sorted values, each unordered pair whose values differ by one of the masks once."""
+    value, first, count = np.unique(sub, return_index=True, return_counts=True)
+    for m in masks:
+        at = np.flatnonzero((value ^ m) > value) if m else np.flatnonzero(count > 1)
+        to = np.minimum(np.searchsorted(value, value[at] ^ m), len(value) - 1)
+        found = value[to] == value[at] ^ m
+        at, to = at[found], to[found]
+        # a row of the left run meets the right run, or what follows it in its own
+        i = np.repeat(first[at] - (np.cumsum(count[at]) - count[at]), count[at]) + np.arange(count[at].sum())
+        end = np.repeat(first[to] + count[to], count[at])
+        begin = np.repeat(first[to], count[at]) if m else i + 1
+        many = end - begin
+        keep = np.flatnonzero(many)
+        i, begin, many = i[keep], begin[keep], many[keep]
+        ends = np.cumsum(many)
+        for part in np.split(np.arange(len(i)), np.searchsorted(ends, np.arange(CHUNK, ends[-1] if len(i) else 0, CHUNK)) + 1):
+            # one row may have more partners than a chunk holds
+            if len(part):
+                k = many[part]
+                yield np.repeat(i[part], k), np.arange(k.sum()) + np.repeat(begin[part] - (np.cumsum(k) - k), k)
+
+
+def _closest(i: np.ndarray, j: np.ndarray, far: np.ndarray, k: int, slack: int) -> np.ndarray:
+    """Which pairs are as near as the k-th nearest of one of the two, give or take `slack` bits."""
+    who, dist = np.concatenate([i, j]), np.concatenate([far, far])
+    order = np.lexsort((dist, who))
+    who, dist = who[order], dist[order]
+    first = np.flatnonzero(np.diff(who, prepend=-1))
+    size = np.diff(np.append(first, len(who)))
+    limit = np.full(int(who[-1]) + 1 if len(who) else 0, np.iinfo(np.int64).max // 2)
+    full = size >= k
+    limit[who[first[full]]] = dist[first[full] + k - 1]
+    return far <= np.maximum(limit[i], limit[j]) + slack
+
+
+def _search(radii: dict[int, int], min_cosine: float, flips: int, k: int, cap: int):
+    """Pairs (a, b) of the groups of a partition that is sorted by key."""
+    plain, fine = _masks(LOW, flips), _masks(16, flips)
+
+    def pairs(d: int, groups: list):
+        radius = radii[d] if d in radii else _unlearned(d, min_cosine, flips).radius
+        h, check, low = (np.concatenate(x) for x in zip(*(g[1:] for g in groups)))
+        group = np.repeat(np.arange(len(groups)), [len(g[1]) for g in groups])
+        sub = (group << LOW) + low
+        order = np.argsort(sub, kind="stable")
+        sub, h, check, group = sub[order], h[order], check[order], group[order]
+        value, count = np.unique(sub, return_counts=True)
+        # many equal substrings in a group: it is searched anew by parts of the check bits
+        dense = np.unique(value[count > cap] >> LOW)
+        loose = ~np.isin(group, dense)
+        searches = [(sub[loose], plain, np.flatnonzero(loose))]
+        for g in dense:
+            mine = np.flatnonzero(group == g)
+            for part in range(CHECK // 16):
+                v = (check[mine, part // 4] >> np.uint64(16 * (part % 4))).astype(np.int64) & 0xFFFF
+                o = np.argsort(v, kind="stable")
+                searches.append((v[o], fine, mine[o]))
+        c0, c1 = check[:, 0], check[:, 1]
+        # three standard deviations of a distance, as far as the radius has them
+        slack = max(1, radius // 3)
+        held: list[np.ndarray] = []
+
+        def pruned():
+            i, j, far = np.concatenate(held, axis=1) if held else np.zeros((3, 0), dtype=np.int64)
+            keep = _closest(i, j, far, k, slack)
+            return np.stack([i[keep], j[keep], far[keep]])
+
+        for v, masks, where in searches:
+            for i, j in _candidates(v, masks):
+                i, j = where[i], where[j]
+                far = np.bitwise_count(c0[i] ^ c0[j]) + np.bitwise_count(c1[i] ^ c1[j])
+                near = np.flatnonzero(far <= radius)
+                if len(near):
+                    held.append(np.stack([i[near], j[near], far[near].astype(np.int64)]))
+                    if sum(x.shape[1] for x in held) > 4 * CHUNK:
+                        held[:] = [pruned()]
+        i, j, _ = pruned()
+        a, b = np.minimum(h[i], h[j]), np.maximum(h[i], h[j])
+        if len(a):
+            both = np.unique(np.stack([a, b]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+    def run(batches):
+        held, last, d, rows = [], None, None, 0
+        for b in batches:
+            for key, n, data in zip(b.column("key").to_numpy(), b.column("n").to_numpy(), b.column("data")):
+                if key != last:
+                    own = int(key) >> (LOW + KEY + 7)
+                    if held and (rows > 1 << 17 or own != d):
+                        yield from pairs(d, [(g, *(np.concatenate(x) for x in zip(*parts))) for g, parts in held])
+                        held, rows = [], 0
+                    held.append((key, []))
+                    last, d = key, own
+                raw = data.as_buffer()
+                held[-1][1].append((
+                    np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.uint64, 2 * n, 8 * n).reshape(n, 2), np.frombuffer(raw, np.uint16, n, 24 * n).astype(np.int64),
+                ))
+                rows += n
+        if held:
+            yield from pairs(d, [(g, *(np.concatenate(x) for x in zip(*parts))) for g, parts in held])
+
+    return run
+
+
+def table_pairs(codes: DataFrame, rotations: dict[int, Rotation], classes: int, min_cosine: float, flips: int = 1, k: int = 10, cap: int = 4096) -> DataFrame:
+    """Distinct pairs (a, b) of codes (h, dim, code) that meet in a table and lie within the radius.
+
+    Groups whose number of codes is above GROUP_ROWS are split by further bits, and groups in which more than `cap`
+    codes have one substring are searched by parts of their check bits: both lose a few of their pairs far out,
+    none of their work is a square of the group. Of a code's pairs in a task those remain that are near its k
+    nearest by distance, or its partner's.
+    """
+    counts = codes.mapInArrow(_count_keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    # at most rows x tables / GROUP_ROWS of them
+    crowded = {r["key"]: min(LOW - 1, math.ceil(math.log2(r["n"] / GROUP_ROWS))) for r in counts.filter(F.col("n") > GROUP_ROWS).toArrow().to_pylist()}
+    packed = codes.mapInArrow(_pack(crowded), "key long, n int, data binary")
+    parts = max(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), classes * 20 // GROUP_ROWS + 1)
+    met = packed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_search({d: r.radius for d, r in rotations.items()}, min_cosine, flips, k, cap), "a long, b long")
+    return met.distinct()
+
+
+# --- certain retrieval by blocks
+
+
+def _words(batches):
+    """(h, dim, c0..c3): the first 256 bits of each code."""
+    for b in batches:
+        h = b.column("h").to_numpy()
+        for d, rows, bits in _unpacked(b):
+            w = np.packbits(bits[:, : WORDS * 64], axis=1, bitorder="little").view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h[rows]), pa.array(np.full(len(rows), d, dtype=np.int32)), *[pa.array(w[:, i]) for i in range(WORDS)]], ["h", "dim", *[f"c{i}" for i in range(WORDS)]])
+
+
 def _masks(bits: int, flips: int) -> np.ndarray:
     """All values of `bits` bits with at most `flips` ones."""
     return np.array([sum(1 << i for i in c) for n in range(flips + 1) for c in combinations(range(bits), n)], dtype=np.int64)
@@ -222,21 +480,26 @@ def candidate_pairs(codes: DataFrame, classes: int, min_cosine: float, probes: i
     return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_compare(bits, flips, radius), "a long, b long")
 
 
-def similar_vectors(df: DataFrame, k: int = 10, min_cosine: float = 0.88, sample: int = 8192, probes: int = 0, bucket_cap: int = 4096) -> DataFrame:
+def similar_vectors(df: DataFrame, k: int = 10, min_cosine: float = 0.88, sample: int = 8192, probes: int = 1, bucket_cap: int = 4096, certain: bool = False) -> DataFrame:
     """(path, neighbour, cosine, rank): of each usable path its k most similar others of the same length.
 
-    Neighbours below min_cosine are not looked for; it sets the radius in which codes are retrieved. Equal
-    cosines are ordered by path. Unusable rows (see usable_vectors) neither ask nor answer; of several
-    vectors under one path the one with the smallest hash counts; further columns are ignored. An empty
-    table gives an empty result. `sample` bounds the rows that fit the rotations; every row is indexed.
+    Neighbours below min_cosine are not looked for; at min_cosine about the share RECALL is found, above it more,
+    whatever the number of rows. Equal cosines are ordered by path. Unusable rows (see usable_vectors) neither ask
+    nor answer; of several vectors under one path the one with the smallest hash counts; further columns are
+    ignored. An empty table gives an empty result. `sample` bounds the rows that fit the rotations; every row is
+    indexed. `probes` is the number of flips in which a substring is looked up.
     """
     usable = usable_vectors(df.select("path", "dim", "vec"))
-    rotations = fit(usable, df.count(), sample)
+    rotations = fit(usable, df.count(), sample, min_cosine, probes)
     members = materialize(usable.groupBy("path").agg(F.min("h").alias("h")), "members")
-    coded = usable.select("h", "dim", "vec").mapInArrow(_encode(rotations), "h long, dim int, " + ", ".join(f"c{i} long" for i in range(WORDS)))
+    coded = usable.select("h", "dim", "vec").mapInArrow(_encode(rotations, min_cosine, probes), "h long, dim int, code binary")
     codes = materialize(coded.dropDuplicates(["h"]).join(members.select("h").distinct(), "h", "left_semi"), "codes")
     classes = codes.count()
-    pairs = candidate_pairs(codes, classes, min_cosine, probes, bucket_cap)
+    if certain:
+        words = codes.mapInArrow(_words, "h long, dim int, " + ", ".join(f"c{i} long" for i in range(WORDS)))
+        pairs = candidate_pairs(words, classes, min_cosine, probes, bucket_cap)
+    else:
+        pairs = table_pairs(codes, rotations, classes, min_cosine, probes, k, bucket_cap)
 
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     floats = usable.groupBy("h").agg(F.first("vec").alias("vec")).withColumn("norm", norm)
