@@ -3,10 +3,11 @@
 Linear support-vector classifiers, one for each kind (generated, minified, vendored, data), over hashed
 character n-grams of the body's shape, words of its opening comment, path components and line statistics.
 Nobody labels files by hand here, so a file counts as an example of a kind if it gives itself away: a tool's
-header, a vendor directory, a bundle's name, a body of literals. Each example is learned twice, as it is and
-with what gave it away masked, so that the classifiers also know its kin without headers. Files that look
-like a kind though they were taken as hand-written are left out of a second round. Repositories held out
-from training set the thresholds and give the figures of `report`.
+header, a vendor directory, a bundle's name, a body of literals, or if its body lies in a vendor directory as
+well. Each example is learned twice, as it is and with what gave it away masked, so that the classifiers also
+know its kin without headers. Files that look like a kind though they were taken as hand-written are left out
+of a second round. Repositories held out from training set the thresholds, on examples as they are and masked,
+and give the figures of `report`.
 
 Content equal to another repository's or to a file in a vendor directory is a feature as well; it is counted
 over all files, and as the model is linear, added to the score after the bodies have been read once.
@@ -23,12 +24,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 KINDS = ("generated", "minified", "vendored", "data")
-DIM = 1 << 15
+#: Hashed names (of the path, the opening comment, the lines) and hashed n-grams of the body's shape lie apart.
+NAMES, GRAMS = 1 << 15, 1 << 15
+DIM = NAMES + GRAMS
 #: Files that fit the classifiers (picked by hash of the path); all others are only scored.
 SAMPLE = 6000
 #: How much a masked example counts, by kind.
-MASKED_COST = {"generated": 0.4, "minified": 2.0, "vendored": 0.02, "data": 2.0}
+MASKED_COST = {"generated": 0.4, "minified": 2.0, "vendored": 1.0, "data": 2.0}
 
 # Phrases with which tools and copies announce themselves, and names of directories and files
 # that are set aside for them.
@@ -39,15 +44,18 @@ MINIFIED_PATH = r"[.-]min\.[a-z]+$|\.(?:bundle|chunk)\.[a-z]+$|\.[0-9a-f]{8}\.(?
 VENDORED_PATH = r"(?:^|/)(?:node_modules|bower_components|third_party|thirdparty|_vendored|vendor|contrib|external|deps)/[^/]+/"
 SOURCE_MAP = r"sourceMappingURL="
 
-_gen, _ven, _gen_path, _min_path, _ven_path, _map = (re.compile(p, re.I) for p in (GENERATED_HEADER, VENDORED_HEADER, GENERATED_PATH, MINIFIED_PATH, VENDORED_PATH, SOURCE_MAP))
+_gen, _ven, _gen_path, _min_path, _ven_path = (re.compile(p, re.I) for p in (GENERATED_HEADER, VENDORED_HEADER, GENERATED_PATH, MINIFIED_PATH, VENDORED_PATH))
+_map = re.compile(SOURCE_MAP)
 _comment = re.compile(r"\s*(?:(?:#|//)[^\n]*(?:\n|$)|/\*.*?\*/|<!--.*?-->|\"\"\".*?\"\"\")", re.S)
 _word = re.compile(r"[A-Za-z@]{2,}")
 _blob = re.compile(r"[A-Za-z0-9+/=_-]{160,}")
+_literal = re.compile(r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|[\d\s\[\]{}(),:;=.+-]+")
 
 _shape = np.arange(256, dtype=np.uint8)
 _shape[[*range(65, 91), *range(97, 123), *range(128, 256)]] = ord("a")
 _shape[range(48, 58)] = ord("0")
 _shape[[9, 11, 12]] = 32
+_quote, _repeats, _counted = (np.isin(np.arange(256), x) for x in ([34, 39], [97, 48, 32], [97, 48]))
 
 
 def opening(body: str) -> int:
@@ -64,12 +72,14 @@ def giveaways(path: str, body: str) -> set[str]:
     out = set()
     if _gen.search(head) or _gen_path.search(path):
         out.add("generated")
-    if _min_path.search(path) or _map.search(body[-300:]):
+    if _min_path.search(path) or _map.search(body):
         out.add("minified")
     if _ven_path.search(path) or _ven.search(head):
         out.add("vendored")
-    dense = re.sub(r"\s+", "", body)
-    if len(dense) > 400 and (sum(map(len, _blob.findall(body))) > 0.5 * len(dense) or sum(c.isdigit() for c in dense) > 0.3 * len(dense)):
+    rest = body[len(head) :]
+    dense = len(re.sub(r"\s+", "", rest))
+    # blobs, columns of numbers, or hardly anything but literals
+    if dense > 400 and (sum(map(len, _blob.findall(rest))) > 0.5 * dense or sum(c.isdigit() for c in rest) > 0.3 * dense or len(_literal.sub("", rest)) < 0.05 * dense):
         out.add("data")
     return out
 
@@ -79,12 +89,17 @@ def mask(path: str, body: str) -> tuple[str, str]:
     return f"{path.split('/')[0]}/.{path.rsplit('.', 1)[-1]}", _map.sub("", body[opening(body) :])
 
 
-def _bucket(name: str) -> int:
-    return zlib.crc32(name.encode()) % DIM
+def _named(names: list[tuple[str, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """(indices, values), each index once."""
+    at: dict[int, float] = {}
+    for name, v in names:
+        i = zlib.crc32(name.encode()) % NAMES
+        at[i] = at.get(i, 0.0) + v
+    return np.fromiter(at.keys(), dtype=np.int64, count=len(at)), np.fromiter(at.values(), dtype=np.float64, count=len(at))
 
 
 def features(path: str, body: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """(indices, values) of one file and how many of them don't come from the body's n-grams."""
+    """(indices, values) of one file, each index once, and how many of them don't come from the body's n-grams."""
     names: list[tuple[str, float]] = [("bias", 1.0)]
     parts = path.lower().split("/")[1:] or [path.lower()]
     names += [(f"d:{x}", 0.6) for x in parts[:-1]] + [(f"p:{a}/{b}", 0.4) for a, b in zip(parts[:-2], parts[1:-1])]
@@ -94,60 +109,67 @@ def features(path: str, body: str) -> tuple[np.ndarray, np.ndarray, int]:
     names += [(f"g:{base[i : i + 4]}", 0.1) for i in range(len(base) - 3)]
     cut = opening(body)
     # the repository's own name says who wrote it, any other is a word like others
-    head = body[:cut].replace(path.split("/")[0], " OWNREPO ")[:2000]
+    head = body[:cut].replace(path.split("/")[0], " OWNREPO ")
     words = [w.lower() for w in _word.findall(head)]
     names += [(f"h:{w}", 0.35) for w in set(words)] + [(f"hb:{a} {b}", 0.35) for a, b in set(zip(words[:-1], words[1:]))]
-    if _map.search(body[-300:]):
+    if _map.search(body):
         names.append(("map", 0.6))
     rest = body[cut:]
     raw = np.frombuffer(rest.encode("utf-8", "ignore"), dtype=np.uint8)
     raw = raw[raw != 13]
     names.append((f"size:{len(raw).bit_length()}", 0.3))
     if not len(raw):
-        names.append(("empty", 1.0))
-        idx, val = zip(*((_bucket(n), v) for n, v in names))
-        return np.array(idx), np.array(val, dtype=np.float64), len(idx)
+        idx, val = _named([*names, ("empty", 1.0)])
+        return idx, val, len(idx)
     newline = np.flatnonzero(raw == 10)
     lines = np.diff(np.concatenate([[-1], newline, [len(raw)]]))
     shape = _shape[raw]
     ink = np.maximum((shape != 32).sum(), 1)
-    names += [(f"longest:{int(lines.max()).bit_length()}", 0.6), (f"mean:{int(lines.mean()).bit_length()}", 0.6), (f"digits:{int(20 * (shape == 48).sum() / ink)}", 0.6), (f"spaces:{int(20 * (shape == 32).sum() / len(raw))}", 0.4), (f"quotes:{int(20 * np.isin(raw, [34, 39]).sum() / ink)}", 0.4)]
-    run = np.concatenate([[True], (shape[1:] != shape[:-1]) | ~np.isin(shape[1:], [97, 48, 32])])
+    names += [(f"longest:{int(lines.max()).bit_length()}", 0.6), (f"mean:{int(lines.mean()).bit_length()}", 0.6), (f"digits:{int(20 * (shape == 48).sum() / ink)}", 0.6), (f"spaces:{int(20 * (shape == 32).sum() / len(raw))}", 0.4), (f"quotes:{int(20 * _quote[raw].sum() / ink)}", 0.4)]
+    run = np.concatenate([[True], (shape[1:] != shape[:-1]) | ~_repeats[shape[1:]]])
     starts = np.flatnonzero(run)
     s = shape[starts].astype(np.uint32)
     length = np.diff(np.append(starts, len(shape)))
     # runs keep a hint of their length: one letter, a word, a blob
-    s = np.where(np.isin(s, [97, 48]), s + np.where(length == 1, 256, np.where(length > 40, 512, 0)).astype(np.uint32), s)
+    s = np.where(_counted[s], s + np.where(length == 1, 256, np.where(length > 40, 512, 0)).astype(np.uint32), s)
     if len(s) >= 5:
         g = (((s[:-4] * np.uint32(31) + s[1:-3]) * np.uint32(1009) + s[2:-2]) * np.uint32(9176) + s[3:-1]) * np.uint32(31) + s[4:]
-        g = ((g * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64) % DIM
+        g = ((g * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64) % GRAMS + NAMES
         grams, count = np.unique(g, return_counts=True)
         weight = np.sqrt(count)
         weight = weight / np.sqrt((weight * weight).sum()) * 2.5
     else:
         grams, weight = np.zeros(0, dtype=np.int64), np.zeros(0)
-    idx, val = zip(*((_bucket(n), v) for n, v in names))
-    return np.concatenate([np.array(idx), grams]), np.concatenate([np.array(val), weight]), len(idx)
+    idx, val = _named(names)
+    return np.concatenate([idx, grams]), np.concatenate([val, weight]), len(idx)
 
 
 def train_svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: np.ndarray, dim: int, epochs: int = 12, seed: int = 0) -> np.ndarray:
-    """Weights of a linear classifier with squared hinge loss, by dual coordinate descent."""
-    w, alpha = np.zeros(dim), np.zeros(len(rows))
-    norms = np.array([v @ v for _, v in rows]) + 0.5 / cost
+    """Weights (dim, ...) of linear classifiers with squared hinge loss, by dual coordinate descent.
+
+    y and cost are (rows) or (rows, classifiers): all classifiers are trained in one pass over the rows. A row of cost
+    0 is no example. No row may have an index twice.
+    """
+    y, cost, flat = y.reshape(len(rows), -1), cost.reshape(len(rows), -1).astype(np.float64), y.ndim == 1
+    w, alpha = np.zeros((dim, y.shape[1])), np.zeros(y.shape)
+    use = cost > 0
+    half = np.divide(0.5, cost, out=np.full(cost.shape, np.inf), where=use)
+    scale = 1 / (np.array([v @ v for _, v in rows])[:, None] + half)
+    half[~use] = 0
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
             idx, val = rows[i]
-            grad = y[i] * (w[idx] @ val) - 1 + alpha[i] * 0.5 / cost[i]
-            new = max(alpha[i] - grad / norms[i], 0.0)
-            if new != alpha[i]:
-                np.add.at(w, idx, (new - alpha[i]) * y[i] * val)
-                moved = max(moved, abs(new - alpha[i]) / cost[i])
-                alpha[i] = new
-        if moved < 0.01:
+            grad = y[i] * (val @ w[idx]) - 1 + alpha[i] * half[i]
+            step = np.maximum(alpha[i] - grad * scale[i], 0.0) - alpha[i]
+            if step.any():
+                w[idx] += val[:, None] * (step * y[i])
+                alpha[i] += step
+                moved = max(moved, float((np.abs(step) * half[i]).max()))
+        if moved < 0.005:
             break
-    return w
+    return w[:, 0] if flat else w
 
 
 #: Features that are known only after all files have been counted; they come behind the hashed ones.
@@ -161,58 +183,75 @@ class Model:
     report: dict = field(default_factory=dict)
 
 
-def fit(files: list[tuple[str, str, bool, bool]], cost: float = 1.0, seed: int = 0) -> Model:
-    """A model from (path, body, copied_vendored, copied_abroad); the first step of a path is its repository."""
-    plain, masked, begins, label = [], [], [], np.zeros((len(files), len(KINDS)), dtype=bool)
-    for i, (path, body, *late) in enumerate(files):
-        extra = np.flatnonzero(late)
+@dataclass
+class Example:
+    """A file of the sample: features as it is and masked, how many of them are not of its body, kinds it gives away."""
+
+    path: str
+    plain: tuple[np.ndarray, np.ndarray]
+    masked: tuple[np.ndarray, np.ndarray]
+    begin: int
+    gave: frozenset[str]
+    late: tuple[bool, ...] = (False,) * len(LATE)
+
+    @classmethod
+    def of(cls, path: str, body: str, late: tuple[bool, ...] = (False,) * len(LATE)) -> Example:
         gave = giveaways(path, body)
-        for j, kind in enumerate(KINDS):
-            label[i, j] = kind in gave
-        for out, (p, b) in ((plain, (path, body)), (masked, mask(path, body) if gave else (path, body))):
-            idx, val, n = features(p, b)
-            if out is plain:
-                begins.append(n)
-            out.append((np.concatenate([idx, DIM + extra]), np.concatenate([val, np.ones(len(extra))])))
-    repo = np.array([zlib.crc32(f[0].split("/")[0].encode()) % 5 for f in files])
-    weights, thresholds, report = np.zeros((len(KINDS), DIM + len(LATE))), np.zeros(len(KINDS)), {}
-    score = lambda w, rows: np.array([w[i] @ v for i, v in rows])
-    known = label.any(1)
+        *plain, begin = features(path, body)
+        # what a copy gives away is known only later, so every file is masked
+        return cls(path, tuple(plain), features(*mask(path, body))[:2], begin, frozenset(gave), late)
+
+    def kinds(self) -> set[str]:
+        return set(self.gave) | ({"vendored"} if self.late[0] else set())
+
+
+def fit(files: list[Example], cost: float = 1.0, seed: int = 0) -> Model:
+    """A model; the first step of a path is its repository."""
+    label = np.array([[k in f.kinds() for k in KINDS] for f in files], dtype=bool).reshape(len(files), len(KINDS))
+    late = lambda f, x: (np.concatenate([x[0], DIM + np.flatnonzero(f.late)]), np.concatenate([x[1], np.ones(sum(f.late))]))
+    plain, masked = [late(f, f.plain) for f in files], [late(f, f.masked) for f in files]
+    repo = np.array([zlib.crc32(f.path.split("/")[0].encode()) % 5 for f in files])
+    weights, thresholds, report = np.zeros((len(KINDS), DIM + len(LATE))), np.full(len(KINDS), np.inf), {}
+    score = lambda rows: np.array([v @ weights[:, i].T for i, v in rows]).reshape(len(rows), len(KINDS))
+    known, held = label.any(1), repo == 0
     suspect = np.zeros(len(files), dtype=bool)
-    for final in (False, True):
-        for j, kind in enumerate(KINDS):
-            if not label[:, j].any():
-                thresholds[j] = np.inf
-                continue
-            use = np.flatnonzero((repo != 0) & (label[:, j] | ~suspect))
-            rows = [plain[i] for i in use] + [masked[i] for i in use if known[i]]
-            y = np.where(np.concatenate([label[use, j], label[use[known[use]], j]]), 1.0, -1.0)
-            # without its header a file may read like any other: the masked half counts lightly, and hardly
-            # at all for vendored files, which were once written by hand
-            again = np.concatenate([np.zeros(len(use), dtype=bool), np.ones(len(rows) - len(use), dtype=bool)])
-            weight = np.where(y > 0, np.where(again, MASKED_COST[kind], 2.0), 1.0) * cost
-            w = train_svm(rows, y, weight, DIM + len(LATE), seed=seed)
-            weights[j] = w
-            own = score(w, plain)
-            held = repo == 0
-            # the threshold with the best F1 on the repositories held out; the unlabelled kin of examples lies
-            # above 0 and would push it up, so it is sought below only
+    learned = np.flatnonzero(label.any(0))
+    for step in ("suspects", "thresholds", "all"):
+        if not len(learned):
+            break
+        use = np.flatnonzero(~held | (step == "all"))  # with the thresholds set, all repositories are learned
+        again = use[known[use]]
+        y = np.where(np.concatenate([label[use], label[again]])[:, learned], 1.0, -1.0)
+        # without its header a file may read like any other, so masked examples have a cost of their own
+        own_cost = np.where(label[use], 2.0, np.where(suspect[use, None], 0.0, 1.0))
+        again_cost = np.where(label[again], np.array([MASKED_COST[k] for k in KINDS]), np.where(suspect[again, None], 0.0, 1.0))
+        c = np.concatenate([own_cost, again_cost])[:, learned] * cost
+        weights[learned] = train_svm([plain[i] for i in use] + [masked[i] for i in again], y, c, DIM + len(LATE), seed=seed).T
+        if step == "all":
+            break
+        own, blind = score(plain), score(masked)
+        for j in learned:
+            # the threshold with the best F0.5 (a hand-written file lost costs more than one kept too many) on the
+            # repositories held out, examples counted as they are and masked; unlabelled files beyond half the margin are
+            # taken as kin of examples, all others as wrong
+            yes, no = held & label[:, j], held & ~label[:, j] & (own[:, j] < 0.5)
             tried = []
             for t in np.linspace(-0.3, 0.0, 7):
-                hit = (own > t) & held & ~(suspect & ~label[:, j])
-                tried.append((round(2 * (hit & label[:, j]).sum() / max(1, hit.sum() + (held & label[:, j]).sum()), 3), t))
+                found, wrong = (own[yes, j] > t).sum() + (blind[yes, j] > t).sum(), (own[no, j] > t).sum()
+                tried.append((round(1.25 * found / max(1.0, found + wrong + 0.25 * 2 * yes.sum()), 3), t))
             thresholds[j] = max(tried)[1]
-            got = (own > thresholds[j]) & held
-            blind = (score(w, masked) > thresholds[j]) & held & label[:, j]
-            report[kind] = {"examples": int(label[:, j].sum()), "held out": int((held & label[:, j]).sum()), "found": int((got & label[:, j]).sum()), "found masked": int(blind.sum()), "flagged besides": int((got & ~known).sum())}
-        if not final:
+            got = (own[:, j] > thresholds[j]) & held
+            report[KINDS[j]] = {
+                "examples": int(label[:, j].sum()), "held out": int(yes.sum()), "found": int((got & yes).sum()), "found masked": int((blind[yes, j] > thresholds[j]).sum()), "flagged besides": int((got & ~known).sum()),
+            }
+        if step == "suspects":
             # a body that reads more like the examples' bodies than like the others', or a margin near theirs
-            for j, kind in enumerate(KINDS):
-                if kind == "vendored" or not label[:, j].any():
+            for j in learned:
+                if KINDS[j] == "vendored":  # those were written by hand once
                     continue
-                inner = np.array([weights[j, i[n:]] @ v[n:] for (i, v), n in zip(plain, begins)])
+                inner = np.array([weights[j, i[f.begin :]] @ v[f.begin :] for (i, v), f in zip((f.plain for f in files), files)])
                 cut = (inner[label[:, j]].mean() + inner[~known].mean()) / 2
-                suspect |= ~known & ((inner > cut) | (score(weights[j], plain) > -0.1))
+                suspect |= ~known & ((inner > cut) | (own[:, j] > -0.1))
     return Model(weights, thresholds, report)
 
 
@@ -235,7 +274,7 @@ def score_files(index: DataFrame, docs: DataFrame, sample: int = SAMPLE, cost: f
     paths = index.select("path").filter("path IS NOT NULL").distinct()
     # bodies are read where they lie and never shuffled: keys and scores are cut to the index afterwards
     texts = docs.filter("path IS NOT NULL").select("path", F.coalesce("body", F.lit("")).alias("body"))
-    keyed = texts.select("path", content_key(F.col("body")).alias("key")).filter("key IS NOT NULL").distinct().join(paths, "path", "left_semi")
+    keyed = materialize(texts.select("path", content_key(F.col("body")).alias("key")).filter("key IS NOT NULL").distinct().join(paths, "path", "left_semi"), "keys")
     repo = F.substring_index("path", "/", 1)
     kept = F.col("path").rlike("(?i)" + VENDORED_PATH)
     copies = keyed.groupBy("key").agg(
@@ -247,10 +286,25 @@ def score_files(index: DataFrame, docs: DataFrame, sample: int = SAMPLE, cost: f
     total = index.count()
     share = min(1.0, sample / max(total, 1))
     picked = texts.filter(F.pmod(F.xxhash64("path"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).join(paths, "path", "left_semi")
-    bodies = picked.groupBy(F.col("path").alias("p")).agg(F.max("body").alias("body"))
-    chosen = bodies.limit(2 * sample).join(late, bodies["p"] == late["path"], "left").select("p", "body", *[F.coalesce(c, F.lit(0)).alias(c) for c in LATE])
-    t = chosen.toArrow().sort_by("p")
-    model = fit([(r["p"], r["body"], bool(r[LATE[0]]), bool(r[LATE[1]])) for r in t.to_pylist()], cost)
+    one = picked.groupBy("path").agg(F.max("body").alias("body")).limit(2 * sample)
+    vectors = "idx array<int>, val array<double>, m_idx array<int>, m_val array<double>, begin int, gave array<string>"
+
+    def read(batches):
+        for b in batches:
+            made = [Example.of(p, body) for p, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            lists = [(x.plain[0], x.plain[1], x.masked[0], x.masked[1], x.begin, sorted(x.gave)) for x in made]
+            cols = list(zip(*lists)) or [()] * 6
+            kinds = [pa.list_(pa.int32()), pa.list_(pa.float64())] * 2 + [pa.int32(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["p", "idx", "val", "m_idx", "m_val", "begin", "gave"])
+
+    # features reach the driver, not bodies
+    seen = one.mapInArrow(read, f"p string, {vectors}")
+    t = seen.join(late, seen["p"] == late["path"], "left").drop("path").toArrow().sort_by("p").combine_chunks()
+    cut = lambda c: np.split(t[c].combine_chunks().flatten().to_numpy(), t[c].combine_chunks().offsets.to_numpy()[1:-1]) if t.num_rows else []
+    model = fit([
+        Example(p, (i.astype(np.int64), v), (mi.astype(np.int64), mv), n, frozenset(g), (bool(a), bool(b)))
+        for p, i, v, mi, mv, n, g, a, b in zip(t["p"].to_pylist(), cut("idx"), cut("val"), cut("m_idx"), cut("m_val"), t["begin"].to_pylist(), t["gave"].to_pylist(), *(t[c].to_pylist() for c in LATE))
+    ], cost)
     shared = spark.sparkContext.broadcast((model.weights[:, :DIM].T.copy(), model.thresholds))
 
     def run(batches):
