@@ -6,6 +6,9 @@ looks back, and merges bytes only within a word. So once a word boundary of the
 one of the right part's own boundaries, every later token of the right part is certain to stand; tokens left
 of a boundary that lies clear of the left part's end stand as well. If no such boundary lies in the window,
 it is doubled, at worst to both whole parts. Decoding joins the bytes of the ids in order.
+
+Texts of more than PART characters are cut into rows of that length, encoded by as many tasks, and joined up the same
+tree; where a text is cut makes no difference to its ids.
 """
 
 from __future__ import annotations
@@ -19,13 +22,16 @@ import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Where the public vocabularies lie on every machine; a parameter of each operator here.
 TOKENIZERS = "/opt/tokenizers"
 # Fixed value: the word pattern published with the byte_bpe_50k vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LEAF = 4096
-WINDOW = 64
+LEAF = 512
+WINDOW = 24
+#: Characters of a text that one task encodes.
+PART = 1 << 18
 #: The pattern looks at most this far past the end of a word, apart from runs of white space.
 LOOKAHEAD = 4
 
@@ -105,10 +111,44 @@ def decode(enc: tiktoken.Encoding, ids: list[int]) -> str:
     return b"".join(enc.decode_single_token_bytes(i) for i in ids).decode("utf-8")
 
 
-def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+def _join_all(enc: tiktoken.Encoding, parts: list[Part]) -> Part:
+    while len(parts) > 1:
+        parts = [join(enc, a, b) for a, b in zip(parts[::2], parts[1::2])] + parts[len(parts) // 2 * 2 :]
+    return parts[0]
+
+
+def _long_ids(long: DataFrame, text: str, tokenizer: str, folder: str, part: int) -> DataFrame:
+    """(_text, ids) of each different text, known by its SHA-256, encoded part by part."""
+    number = F.sequence(F.lit(0), F.ceil(F.length(text) / part).cast("int") - 1)
+    cut = long.select("_text", F.posexplode(F.transform(number, lambda i: F.substring(F.col(text), i * part + 1, F.lit(part)))).alias("n", "text"))
+    one = cut.groupBy("_text", "n").agg(F.first("text").alias("text"))
+
+    def encoded(batches):
+        enc = load(tokenizer, folder)
+        for b in batches:
+            made = [encode_part(enc, t) for t in b.column("text").to_pylist()]
+            lists = [pa.array([x.ids for x in made], pa.list_(pa.int32())), pa.array([x.starts for x in made], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *lists], ["_text", "n", "text", "ids", "starts"])
+
+    def joined(table: pa.Table) -> pa.Table:
+        table = table.sort_by("n")
+        parts = [Part(t, i, s) for t, i, s in zip(*(table[c].to_pylist() for c in ("text", "ids", "starts")))]
+        return pa.table([table["_text"][:1], pa.array([_join_all(load(tokenizer, folder), parts).ids], pa.list_(pa.int32()))], ["_text", "ids"])
+
+    return one.mapInArrow(encoded, "_text string, n int, text string, ids array<int>, starts array<int>").groupBy("_text").applyInArrow(joined, "_text string, ids array<int>")
+
+
+def _split(df: DataFrame, key: str, text: str, part: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of one part (key, text), and of several (key, text, _text)."""
+    several = F.coalesce(F.length(text) > part, F.lit(False))
+    return df.filter(~several).select(key, text), df.filter(several).select(key, text, F.sha2(F.col(text), 256).alias("_text"))
+
+
+def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, part: int = PART) -> DataFrame:
     """(key, ids): one row per row of df; an empty list for null and empty texts. Strings that look like
     special tokens are ordinary text. Repeated rows stay repeated; other columns are not read."""
     kind = dict(df.dtypes)[key]
+    short, long = _split(df, key, text, part)
 
     def run(batches):
         enc = load(tokenizer, folder)
@@ -118,12 +158,14 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
             flat = np.fromiter((i for x in lists for i in x), dtype=np.int32, count=int(ends[-1]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [key, "ids"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    plain = short.mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return plain.unionByName(long.select(key, "_text").join(_long_ids(long, text, tokenizer, folder, part), "_text").select(key, "ids"))
 
 
-def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, part: int = PART) -> DataFrame:
     """(key, n): the number of ids of each text, 0 for null and empty ones."""
     kind = dict(df.dtypes)[key]
+    short, long = _split(df, key, text, part)
 
     def run(batches):
         enc = load(tokenizer, folder)
@@ -131,4 +173,5 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", tokeniz
             n = np.fromiter((len(encode(enc, t)) for t in b.column(1).to_pylist()), dtype=np.int32, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n)], [key, "n"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n int")
+    counted = _long_ids(long, text, tokenizer, folder, part).select("_text", F.size("ids").alias("n"))
+    return short.mapInArrow(run, f"`{key}` {kind}, n int").unionByName(long.select(key, "_text").join(counted, "_text").select(key, "n"))

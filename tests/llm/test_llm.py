@@ -111,6 +111,18 @@ def test_token_tables(spark, enc):
     assert tokens.token_ids(df.limit(0), folder=FOLDER).count() == 0
 
 
+def test_long_texts_are_encoded_in_parts(spark, enc):
+    """Where a text is cut into rows makes no difference to its ids."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(["word ", "  ", "\n", "don't", "12", "\u6f22", "\U0001f642", "e\u0301"]) for _ in range(300)) for _ in range(6)]
+    texts += [" " * 500, "a" * 500, "short", "", None, texts[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for part in (7, 64, 1000):
+        got = {r["doc_id"]: r["ids"] for r in tokens.token_ids(df, folder=FOLDER, part=part).collect()}
+        assert got == {i: enc.encode_ordinary(t or "") for i, t in enumerate(texts)}
+        assert {r["doc_id"]: r["n"] for r in tokens.token_counts(df, folder=FOLDER, part=part).collect()} == {i: len(x) for i, x in got.items()}
+
+
 # --- containers
 
 
