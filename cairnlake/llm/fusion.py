@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: Groups above this many rows are ranked in bins, so that no task sorts a whole hot group.
 HOT_ROWS = 200_000
 BINS = 256
@@ -58,7 +60,7 @@ def positions(df: DataFrame, group: list[str], values: dict[str, str], hot_rows:
 def _join(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """A join whose keys also match null with null."""
     renamed = b.withColumnsRenamed({c: f"_r_{c}" for c in on})
-    cond = reduce(lambda x, y: x & y, [a[c].eqNullSafe(renamed[f"_r_{c}"]) for c in on])
+    cond = reduce(lambda x, y: x & y, [a[c].eqNullSafe(F.col(f"_r_{c}")) for c in on])
     return a.join(renamed, cond, how).drop(*[f"_r_{c}" for c in on])
 
 
@@ -84,6 +86,34 @@ def fuse(
     return positions(fused, [group], {"position": "fused"}, hot_rows)
 
 
+def numbered(df: DataFrame, group: str, order: list[Column], name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """df with the number of each row in the order of its group, from 1.
+
+    Groups of up to hot_rows rows are numbered by a window. The rows of larger ones are sorted over all tasks by
+    range; a row's number is what its group has in earlier partitions plus its place in its own.
+    """
+    sizes = df.groupBy(group).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(group)
+    plain = _join(df, sizes, [group], "left_anti").withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long"))
+    big = _join(df, sizes, [group], "left_semi")
+    keys = [F.col(group).asc_nulls_first(), *order]
+    laid = materialize(big.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    # the upper bits of _at are the partition
+    laid = laid.withColumn("_part", F.shiftright("_at", 33))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shares = laid.groupBy(group, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_many"))
+    shares = shares.withColumn("_ahead", F.coalesce(F.sum("_many").over(before), F.lit(0))).drop("_many")
+    out = _join(laid, shares, [group, "_part"]).withColumn(name, F.col("_ahead") + F.col("_at") - F.col("_first") + 1)
+    return plain.unionByName(out.drop("_at", "_part", "_first", "_ahead"))
+
+
+def ranking(hits: DataFrame, **how) -> DataFrame:
+    """(group, item, place): one order of the items of each group, from 1; the larger fused value first, equal ones by
+    item, a null item before all others."""
+    group, item = how.get("group", "query_id"), how.get("item", "path")
+    fused = fuse(hits, **how).select(group, item, "fused")
+    return numbered(fused, group, [F.desc("fused"), F.col(item).asc_nulls_first()], "place", how.get("hot_rows", HOT_ROWS)).drop("fused")
+
+
 def agreed(hits: DataFrame, best: int = 3, **how) -> DataFrame:
     """(query_id, path) of the items among the `best` positions by every score."""
     scores = how.get("scores", ("score", "cosine"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import fusion, handwritten, neighbours, packing, splitting, subjects, tokens
 
 
@@ -37,6 +38,21 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pieces(spark, d).filter("pieces > 1").select("path", "node_id").distinct()
 
 
+def p3_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """Each item put together again from its pieces without their overlaps, and whether every piece keeps the rules."""
+    overlap = splitting.OVERLAP
+    own = F.when(F.col("piece") == 0, F.col("text")).otherwise(F.substring("text", F.lit(overlap + 1), F.length("text")))
+    before = Window.partitionBy("path", "node_id", "start_line", "end_line").orderBy("piece")
+    kept = (F.length("text") == F.col("end") - F.col("start")) & (F.length("text") <= splitting.LIMIT)
+    joined = (F.col("piece") == 0) & (F.col("start") == 0) | (F.col("start") == F.lag("end").over(before) - overlap)
+    rows = p3_pieces(spark, d).select("path", "node_id", "start_line", "end_line", "piece", "pieces", "end", own.alias("own"), (kept & joined).alias("ok"))
+    whole = rows.groupBy("path", "node_id", "start_line", "end_line").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "own"))), lambda x: x["own"]), "").alias("text"),
+        (F.min("ok") & (F.count("*") == F.max("pieces"))).alias("kept"),
+    )  # one item a group
+    return whole.select("path", "node_id", F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"), "kept").distinct()
+
+
 P3_SQL = r"""
 WITH b AS (SELECT path, max(body) AS body FROM docs WHERE path IS NOT NULL AND body IS NOT NULL GROUP BY path),
 l AS (SELECT path, list_transform(string_split(body, chr(10)), lambda x: CASE WHEN right(x, 1) = chr(13) THEN left(x, length(x) - 1) ELSE x END) AS lines FROM b),
@@ -48,6 +64,7 @@ t AS (
 )
 SELECT DISTINCT path, node_id FROM t WHERE length(text) > 4000
 """
+P3_REJOINED_SQL = P3_SQL.replace("SELECT DISTINCT path, node_id FROM t", "SELECT DISTINCT path, node_id, length(text) AS chars, md5(text) AS digest, true AS kept FROM t")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -60,6 +77,11 @@ def p4_fused(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("fused", F.round("fused", 9)).drop("score", "cosine")
 
 
+def p4_order(spark: SparkSession, d: str) -> DataFrame:
+    """Every path of a query at its place in the one order."""
+    return fusion.ranking(_read(spark, d, "hits"))
+
+
 _P4_ONE = """
 WITH one AS (
   SELECT query_id, path, score, cosine FROM (
@@ -77,6 +99,10 @@ P4_FUSED_SQL = _P4_ONE + """
 , f AS (SELECT *, coalesce(1.0::DOUBLE / (60.0::DOUBLE + pos_score), 0.0::DOUBLE) + coalesce(1.0::DOUBLE / (60.0::DOUBLE + pos_cosine), 0.0::DOUBLE) AS fused FROM pos)
 SELECT query_id, path, pos_score, pos_cosine, round(fused, 9) AS fused, CAST(rank() OVER (PARTITION BY query_id ORDER BY fused DESC) AS INTEGER) AS position FROM f
 """
+P4_ORDER_SQL = _P4_ONE + """
+, f AS (SELECT *, coalesce(1.0::DOUBLE / (60.0::DOUBLE + pos_score), 0.0::DOUBLE) + coalesce(1.0::DOUBLE / (60.0::DOUBLE + pos_cosine), 0.0::DOUBLE) AS fused FROM pos)
+SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, path NULLS FIRST) AS place FROM f
+"""
 
 
 def p5_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -100,6 +126,23 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_containers(tokens.token_counts(_read(spark, d, "documents")), CONTAINER)
 
 
+def p7_filled(spark: SparkSession, d: str) -> DataFrame:
+    """One row on the containers: documents placed, documents split though they fit, containers beyond their capacity,
+    gaps in their numbers, and whether they take at most a hundredth and one container more than the texts need."""
+    rows = materialize(p7_containers(spark, d), "containers")
+    fill = rows.filter("container_id IS NOT NULL").groupBy("container_id").agg(F.sum("size").alias("fill"))
+    total = fill.agg(
+        F.count(F.when(F.col("fill") > CONTAINER, 1)).alias("overfull"), (F.coalesce(F.max("container_id") + 1, F.lit(0)) - F.count("*")).alias("gaps"),
+        (F.count("*") <= F.coalesce(F.sum("fill"), F.lit(0)) / CONTAINER * 1.01 + 1).alias("tight"),
+    )
+    size = rows.groupBy("doc_id").agg(F.sum("size").alias("size"), F.max("pieces").alias("pieces"), F.count("*").alias("n"))
+    docs = size.agg(F.count("*").alias("documents"), F.count(F.when((F.col("n") != F.col("pieces")) | (F.col("pieces") > F.greatest(F.ceil(F.col("size") / CONTAINER), F.lit(1))), 1)).alias("broken"))
+    return docs.crossJoin(total)  # one row each
+
+
+P7_FILLED_SQL = "SELECT count(*) AS documents, 0::BIGINT AS broken, 0::BIGINT AS overfull, 0::BIGINT AS gaps, true AS tight FROM documents"
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_containers(spark, d).filter("pieces > 1").select("doc_id").distinct()
 
@@ -109,8 +152,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_pieces, p4_found, p4_fused, p5_found, p6_ids, p7_found, p7_containers, p8_found)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_pieces, p3_rejoined, p4_found, p4_fused, p4_order, p5_found, p6_ids, p7_found, p7_containers, p7_filled, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p4_fused": P4_FUSED_SQL}
+    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p3_rejoined": P3_REJOINED_SQL, "p4_found": P4_SQL, "p4_fused": P4_FUSED_SQL, "p4_order": P4_ORDER_SQL, "p7_filled": P7_FILLED_SQL}

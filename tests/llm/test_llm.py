@@ -207,6 +207,20 @@ def test_fusion(spark, hot):
     assert fusion.fuse(spark.createDataFrame([], HIT)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [200_000, 20])
+def test_one_order_without_ties(spark, hot):
+    rng = random.Random(12)
+    rows = [(i, rng.choice([1, 2, None]), rng.choice([None, f"p{rng.randint(0, 80):02d}"]), rng.choice([None, 1.0, 2.0]), rng.choice([None, 0.5]), 7) for i in range(300)]
+    rows += [(1000 + i, 9, f"k{i:02d}", None, None, 7) for i in range(40)] + rows[:10]
+    want = {}
+    for q in {k[0] for k in brute_fused(rows)}:
+        mine = sorted((-v[2], k[1] is not None, k[1] or "", k[1]) for k, v in brute_fused(rows).items() if k[0] == q)
+        want |= {(q, x[3]): n + 1 for n, x in enumerate(mine)}
+    got = fusion.ranking(spark.createDataFrame(rows, HIT), hot_rows=hot).collect()
+    assert {(r["query_id"], r["path"]): r["place"] for r in got} == want and len(got) == len(want)
+    assert fusion.ranking(spark.createDataFrame([], HIT)).count() == 0
+
+
 # --- splitting
 
 
