@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 import json
-import re
 import time
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import parse
 from .functions import text as T
-from .operators import lexical, memory, rank
+from .functions.stem import stem, stem_postings
+from .operators import folds, lexical, memory, rank
 from .operators.fences import GLOBAL, Fence, fence_of, in_session, live, owned
 from .operators.incremental import VersionedTable
+from .session import materialize
 from .sources import files
+from .sources.files import apply_alias, load_ts_paths  # noqa: F401 - part of this interface
 
-_SEPARATOR = "\x1f"
+#: Rows of a kind that are fused with cosine, at least.
+SEMANTIC_POOL = 400
+CACHED_QUERIES = 128
 
 
 class WriteDenied(PermissionError):
@@ -29,7 +35,7 @@ class Trace:
     """Calls in order, each linked to the one before."""
 
     # Fixed value: what each verb belongs to.
-    PRIMITIVES = {"remember": "Write", "ingest": "Write", "forget": "Write", "purge": "Write", "recall": "Select", "get": "Select", "related": "Select", "impact": "Select", "assemble": "Compress", "trim": "Compress", "stash": "Isolate", "peek": "Isolate", "evict": "Isolate"}
+    PRIMITIVES = {"remember": "Write", "ingest": "Write", "forget": "Write", "purge": "Write", "recall": "Select", "get": "Select", "related": "Select", "impact": "Select", "assemble": "Compress", "trim": "Compress", "stash": "Isolate", "peek": "Isolate", "evict": "Isolate", "node": "Select"}
 
     def __init__(self):
         self.nodes: list[dict] = []
@@ -65,11 +71,14 @@ class Engine:
         self, spark: SparkSession, root: str, owner: str | None = None, session: str | None = None, strict: bool = False, episode_days: float = memory.EPISODE_DAYS,
         gate: Callable[[dict], str] | None = None, audit: Callable[[dict], None] | None = None, redact: Callable[[dict], dict] | None = None,
         embed: Callable[[str], list[float]] | None = None, clock: Callable[[], int] = lambda: int(time.time() * 1000), trace: Trace | None = None,
+        embed_weight: float = rank.EMBED_WEIGHT, nominees: int = rank.NOMINEES,
     ):
         if not 0 < episode_days < float("inf"):
             raise ValueError("episode_days must be a positive number")
         self.spark, self.owner, self.session, self.strict, self.days = spark, owner, session, strict, episode_days
         self.gate, self.audit, self.redact, self.embed, self.clock, self.trace = gate, audit, redact, embed, clock, trace
+        self.embed_weight, self.nominees = embed_weight, nominees
+        self._asked = lru_cache(CACHED_QUERIES)(lambda query: [float(x) for x in embed(query)]) if embed else None
         self.ops = VersionedTable(spark, f"{root}/ops", memory.OPS)
         self.log = VersionedTable(spark, f"{root}/log", "seq long, path string, kind string, symbol string, action string, ts long")
         self.parked = VersionedTable(spark, f"{root}/stash", "seq long, op string, id string, text string, created_at long")
@@ -81,6 +90,12 @@ class Engine:
             scope = self.owner
         return fence_of(scope, self.strict, self.session, self.clock())
 
+    def _written_owner(self, scope) -> str | None:
+        """Whose row a write makes; a strict engine without an owner must be told."""
+        if scope is None and self.owner is None:
+            fence_of(None, self.strict)
+        return None if scope is GLOBAL else scope if scope is not None else self.owner
+
     def scoped(self, scope: str) -> Scoped:
         if scope is None:
             raise ValueError("a scope is needed")
@@ -126,11 +141,9 @@ class Engine:
             raise ValueError(f"kind must be one of {memory.WRITTEN}")
         if by not in ("human", "agent"):
             raise ValueError("by must be human or agent")
-        owner = None if scope is GLOBAL else scope if scope is not None else self.owner
-        if _SEPARATOR in id or _SEPARATOR in (owner or ""):
+        owner = self._written_owner(scope)
+        if memory.SEPARATOR in id or memory.SEPARATOR in (owner or ""):
             raise ValueError("ids and owners may not hold the unit separator")
-        if scope is None and self.owner is None and self.strict:
-            fence_of(None, True)
         now = self.clock()
         self._allow({"verb": "remember", "id": id, "kind": kind, "by": by, "owner": owner, "text": text})
         if kind == "episode":
@@ -145,7 +158,7 @@ class Engine:
 
     def ingest(self, name: str, content: bytes, by: str = "human", scope=None, expires_at: int | None = None) -> list[str]:
         """Store an upload as one commit: the segments that replace earlier ones of the same id and scope."""
-        owner = None if scope is GLOBAL else scope if scope is not None else self.owner
+        owner = self._written_owner(scope)
         made = files.ingest(self.spark.createDataFrame([(name, bytearray(content))], "name string, content binary")).collect()
         for r in made:
             if r["error"]:
@@ -174,33 +187,83 @@ class Engine:
     # --- reads
 
     def recall(self, query: str, kinds: tuple[str, ...] = memory.WRITTEN, n: int | None = None, scope=None, log: bool = True) -> DataFrame:
-        """(kind, rank, id, score, text, use) of the best rows of each kind."""
+        """(kind, rank, id, score, text, use, cosine, owner, provenance, meta) of the best rows of each kind.
+
+        Facts and episodes are one domain with stemmed terms, documents another; statistics of a domain cover all its
+        rows, whoever owns them. With embed, the best rows by words and, of memory, the `nominees` nearest by cosine
+        are put in the order of both; the score stays that of the words, 0 for a nominee, and cosine is given for
+        memory only. use counts earlier recalls of the row.
+        """
         f = self._fence(scope)
         n = n or (10 if len(kinds) == 1 else 5)
-        rows = self.rows().withColumn("tokens", F.concat(T.split_ident("id"), T.unicode_tokens(F.coalesce("text", F.lit("")))))
-        keep = F.col("kind").isin(*kinds) & owned(F.col("owner"), f) & in_session(F.col("session"), f) & live(F.col("expires_at"), f.now)
-        best = rank.top_per(lexical.bm25(rows, T.query_terms(query), keep), ["kind"], n, key="id")
-        used = memory.use_counts(best.withColumn("path", F.col("id")), memory.history(self.log.read(), self.ops.read())).select("kind", "rank", "id", "score", "text", "use")
+        rows = self.rows().withColumn("path", memory.row_key(F.col("owner"), F.col("id")))
+        keep = owned(F.col("owner"), f) & in_session(F.col("session"), f) & live(F.col("expires_at"), f.now)
+        terms, best = T.query_terms(query), None
+        for kind in kinds:
+            one = self._ranked(rows, kind, terms, query, n, keep)
+            best = one if best is None else best.unionByName(one)
+        used = memory.use_counts(best.join(rows, ["path", "kind"]), memory.history(self.log.read(), self.ops.read()))
+        used = used.select("kind", "rank", "id", "score", "text", "use", "cosine", "owner", "provenance", "meta")
         out = self.spark.createDataFrame(used.collect(), used.schema)  # at most n rows of each kind
         if log:
             self._log(out, "recall")
         self._note("recall", {"query": query, "kinds": kinds}, f"{n} of each kind")
         return out.orderBy("kind", "rank")
 
+    def _scores(self, rows: DataFrame, kind: str, terms: list[str]) -> DataFrame:
+        """(path, score) of the rows of a kind by the words of their domain."""
+        mine = memory.MEM_KINDS if kind in memory.MEM_KINDS else (kind,)
+        domain = rows.filter(F.col("kind").isin(*mine))
+        corpus = domain.select("path", "kind", T.index_tokens(F.col("id"), F.lit(None).cast("array<string>"), F.col("text")).alias("tokens"))
+        if kind not in memory.MEM_KINDS:
+            return lexical.bm25(corpus, terms).select("path", "score")
+        index = stem_postings(lexical.postings(corpus, ["path"]))
+        asked = self.spark.createDataFrame([("q", sorted({stem(t) for t in terms}))], "query_id string, terms array<string>")
+        return lexical.bm25_many(index, lexical.corpus_stats(corpus), asked, ["path"]).select("path", "score")
+
+    def _ranked(self, rows: DataFrame, kind: str, terms: list[str], query: str, n: int, keep: Column) -> DataFrame:
+        """(path, kind, rank, score, cosine) of the n best rows of one kind."""
+        seen = rows.filter((F.col("kind") == kind) & keep)
+        scored = self._scores(rows, kind, terms).join(seen.select("path"), "path")
+        if self._asked is None or not terms:
+            order = rank.top(scored, n).withColumn("order", F.col("score")).withColumn("cosine", F.lit(None).cast("double"))
+        else:
+            pool = materialize(rank.top(scored, max(n, SEMANTIC_POOL)), "pool")
+            vectors = rank.usable(seen.select("path", F.size("vec").alias("dim"), "vec"))
+            near = materialize(rank.similarity(vectors, self._asked(query)), "near")
+            extra = rank.nominees(near, pool, self.nominees) if kind in memory.MEM_KINDS else None
+            fused = rank.fuse(pool, near, extra, self.embed_weight).drop("score").join(pool, "path", "left")
+            cosine = F.coalesce("cosine", F.lit(0.0)) if kind in memory.MEM_KINDS else F.lit(None).cast("double")
+            order = fused.select("path", F.coalesce("score", F.lit(0.0)).alias("score"), cosine.alias("cosine"), F.coalesce("fused", "score", "cosine").alias("order"))
+        return rank.top_per(order.withColumn("kind", F.lit(kind)), ["kind"], n, "order").select("path", "kind", "rank", "score", "cosine")
+
     def _log(self, hits: DataFrame, action: str) -> None:
-        rows = hits.select(F.lit(self.ops.latest() + 1).cast("long").alias("seq"), F.col("id").alias("path"), "kind", F.lit(None).cast("string").alias("symbol"), F.lit(action).alias("action"), F.lit(self.clock()).alias("ts"))
+        key = memory.row_key(F.col("owner"), F.col("id")).alias("path")
+        rows = hits.select(F.lit(self.ops.latest() + 1).cast("long").alias("seq"), key, "kind", F.lit(None).cast("string").alias("symbol"), F.lit(action).alias("action"), F.lit(self.clock()).alias("ts"))
         self.log.append(rows)
 
+    def _visible(self, id: str, f: Fence) -> Row | None:
+        """The written row that an id means to a caller: own memory, shared memory, a live document."""
+        seen = self.rows().filter((F.col("id") == id) & owned(F.col("owner"), f) & live(F.col("expires_at"), f.now))
+        doc = (F.col("kind") == "doc").cast("int")
+        return seen.filter(in_session(F.col("session"), f) | (doc == 1)).orderBy(doc, F.col("owner").isNull(), "owner").first()
+
     def get(self, id: str, scope=None) -> str | None:
         f = self._fence(scope)
-        empty = self.spark.createDataFrame([], "id string, text string")
-        rows = self.rows()
-        mem, docs = rows.filter(F.col("kind").isin(*memory.MEM_KINDS)), rows.filter("kind = 'doc'")
-        found = memory.lookup(self.spark.createDataFrame([(id,)], "id string"), mem, docs, empty, self.stashed(), f).first()
-        if found:
-            self._log(self.spark.createDataFrame([(id, found["tier"])], "id string, kind string"), "fetch")
-        self._note("get", {"id": id}, "found" if found else "none")
-        return found["text"] if found else None
+        row = self._visible(id, f)
+        if row is None:
+            row = self.stashed().filter(F.col("id") == id).select(F.lit(None).cast("string").alias("owner"), "id", F.lit("stash").alias("kind"), "text").first()
+        if row:
+            self._log(self.spark.createDataFrame([(row["owner"], id, row["kind"])], "owner string, id string, kind string"), "fetch")
+        self._note("get", {"id": id}, "found" if row else "none")
+        return row["text"] if row else None
+
+    def node(self, id: str, scope=None) -> dict | None:
+        """A written memory as a node of the graph, which has no edges; None for documents and parked texts."""
+        row = self._visible(id, self._fence(scope))
+        if row is None or row["kind"] not in memory.MEM_KINDS:
+            return None
+        return {"path": id, "kind": row["kind"], "format": row["format"], "chunks": [], "imports": 0, "imported_by": 0}
 
     def count(self, scope=None, kinds: tuple[str, ...] = memory.WRITTEN) -> int:
         return sum(r["n"] for r in memory.count_by_kind(self.rows(), self._fence(scope), kinds).collect())
@@ -211,11 +274,42 @@ class Engine:
 
     def enumerate(self, kind: str, offset: int = 0, limit: int = 100, scope=None) -> dict:
         f = self._fence(scope)
-        rows = self.rows().filter((F.col("kind") == kind) & owned(F.col("owner"), f) & live(F.col("expires_at"), f.now))
+        rows = self.rows().filter((F.col("kind") == kind) & owned(F.col("owner"), f) & in_session(F.col("session"), f) & live(F.col("expires_at"), f.now))
         total = rows.count()
         page = rows.orderBy("seq", "id").offset(offset).limit(limit).select("id", "kind", "text", "created_at").collect()
         return {"items": [r.asDict() for r in page], "total": total, "next_offset": memory.next_offset(offset, limit, total)}
 
+    def review(self, scope=None, threshold: int = memory.REVIEW, kind: str = "fact") -> DataFrame:
+        """(id, owner, hits): what agents wrote and was recalled often, to be reviewed by a human."""
+        return self._often(scope, lambda rows, log, f: memory.review_candidates(rows, log, threshold, f, kind))
+
+    def promotions(self, scope=None, threshold: int = memory.PROMOTION, days: int = memory.EPISODE_DAYS, kind: str = "episode") -> DataFrame:
+        """(id, owner, hits): recent episodes that were recalled often enough to become facts."""
+        return self._often(scope, lambda rows, log, f: memory.promotion_candidates(rows, log, self.clock(), threshold, days, f, kind))
+
+    def _often(self, scope, pick: Callable[[DataFrame, DataFrame, Fence], DataFrame]) -> DataFrame:
+        f = self._fence(scope)
+        rows = self.rows().withColumn("path", memory.row_key(F.col("owner"), F.col("id")))
+        found = pick(rows, memory.history(self.log.read(), self.ops.read()), f)
+        return rows.join(found, "path").select("id", "owner", "hits").orderBy(F.desc("hits"), "id")
+
+    # --- fitting
+
+    def assemble(self, units: DataFrame, budget: float | None, **how) -> DataFrame:
+        self._note("assemble", {"budget": budget}, "")
+        return folds.assemble(units, budget, **how)
+
+    def summary_window(self, units: DataFrame, budget: float, summarize: Callable[[list[dict]], str] | None = None, **how) -> DataFrame:
+        self._note("assemble", {"budget": budget, "summarize": summarize is not None}, "")
+        return folds.summary_window(units, budget, summarize, **how)
+
+    def trim(self, units: DataFrame, **how) -> DataFrame:
+        self._note("trim", how, "")
+        return folds.trim(units, **how)
+
+    def compress(self, text: str, level: str, format: str | None = None, symbol: str | None = None) -> str:
+        return parse.compress(text, level, format, symbol)
+
     # --- parked texts
 
     def stashed(self) -> DataFrame:
@@ -242,7 +336,7 @@ class Engine:
 class Scoped:
     """An engine seen by one tenant: the bound scope goes before any other."""
 
-    VERBS = ("remember", "ingest", "forget", "recall", "get", "count", "recent", "enumerate")
+    VERBS = ("remember", "ingest", "forget", "recall", "get", "node", "count", "recent", "enumerate", "review", "promotions")
 
     def __init__(self, engine: Engine, scope):
         self._engine, self._scope = engine, scope
@@ -271,32 +365,12 @@ class StoreAdapter:
         return {"id": r["id"], "text": r["text"], "metadata": {**json.loads(r["meta"] or "{}"), "kind": r["kind"], "by": r["provenance"]}}
 
     def get(self, key: str) -> dict | None:
-        r = self.engine.rows().filter(F.col("id") == key).first()
+        r = self.engine._visible(key, self.engine._fence(None))
         return self._row(r) if r else None
 
     def search(self, query: str, n: int = 10) -> list[dict]:
-        ids = [r["id"] for r in self.engine.recall(query, n=n).collect()]
-        found = {r["id"]: self._row(r) for r in self.engine.rows().filter(F.col("id").isin(ids)).collect()} if ids else {}
-        return [found[i] for i in ids]
+        """The n best rows of each kind that the engine's own fence lets through."""
+        return [self._row(r) for r in self.engine.recall(query, n=n).collect()]
 
     def delete(self, key: str) -> bool:
         return self.engine.forget(id=key) > 0
-
-
-def load_ts_paths(config: str) -> list[tuple[str, str]]:
-    """(pattern, target) of a tsconfig's path aliases; comments and trailing commas are allowed."""
-    bare = re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", config, flags=re.S)
-    options = json.loads(re.sub(r",(\s*[}\]])", r"\1", bare)).get("compilerOptions", {})
-    base = options.get("baseUrl", ".").strip("./")
-    return [(k, f"{base}/{v[0]}".removeprefix("/").removeprefix("./").replace("/./", "/")) for k, v in options.get("paths", {}).items() if v]
-
-
-def apply_alias(specifier: str, aliases: list[tuple[str, str]]) -> str | None:
-    """The path that an aliased specifier stands for; at most one wildcard a pattern."""
-    for pattern, target in aliases:
-        head, star, tail = pattern.partition("*")
-        if star and specifier.startswith(head) and specifier.endswith(tail) and len(specifier) >= len(head) + len(tail):
-            return target.replace("*", specifier[len(head) : len(specifier) - len(tail)], 1)
-        if not star and specifier == pattern:
-            return target
-    return None

@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 
 from .functions import parse
 from .functions import text as T
-from .operators import folds, graph, lexical, rank
+from .operators import folds, graph, lexical, memory, rank
 from .operators.incremental import VersionedTable
 from .session import materialize
 from .sources import files
+from .sources.files import load_ts_paths
 
 FILES = "path string, kind string, format string, hash string, mtime long, size long, body string"
 NODES = "id long, path string, kind string, format string, nth int, symbol string, node_type string, start_line int, end_line int, complexity int, body string"
 CALLS = "path string, line int, callee string, enclosing string"
 IMPORTS = "path string, specifier string"
-EDITS = "path string, symbol string, kind string, ts long"
+EDITS = "build long, path string, symbol string, kind string, ts long"
 
 
 class StalePointer(LookupError):
@@ -48,7 +49,7 @@ class SourceIndex:
         """Index what is new or changed; counts by status. Files of equal time and size are not read, equal
         contents only get their new time, a pass limited to pathspecs deletes nothing. Files go last: if a
         build is interrupted, the next one does the same files again."""
-        stamp = engine_stamp()
+        stamp, base = engine_stamp(), self.files.latest()
         fresh = force or self.files.manifest().properties.get("stamp") != stamp
         tracked = files.git_paths(self.source, pathspecs) if pathspecs else None
         now = materialize(files.listing(self.spark, self.source, self.include, tracked), "listing")
@@ -68,7 +69,8 @@ class SourceIndex:
         )
         new = materialize(chunks.unionByName(sections).withColumn("id", F.xxhash64("path", "nth", "symbol", "start_line")), "chunks")
         if not fresh:
-            edited = files.edited_chunks(new, self.nodes.read()).withColumn("ts", F.lit(self.clock()))
+            # a build that died and is done again has the same base, so its edits count once (edit_log)
+            edited = files.edited_chunks(new, self.nodes.read()).withColumn("ts", F.lit(self.clock())).withColumn("build", F.lit(base).cast("long"))
             self.edits.append(materialize(edited, "edited"))
         self.nodes.rewrite(gone, new, ["path"])
         self.calls.rewrite(gone, parse.call_sites(code), ["path"])
@@ -90,8 +92,28 @@ class SourceIndex:
 
     # --- reading
 
+    def aliases(self) -> list[tuple[str, str]]:
+        """The path aliases of the folder's tsconfig.json."""
+        config = Path(self.source, "tsconfig.json")
+        return load_ts_paths(config.read_text()) if config.is_file() else []
+
     def edges(self) -> DataFrame:
-        return graph.resolve_imports(self.imports.read(), self.files.read().select("path"))
+        return graph.resolve_imports(self.imports.read(), self.files.read().select("path"), self.aliases())
+
+    def edit_log(self) -> DataFrame:
+        """(path, symbol, kind, ts) of every edited chunk, once a build."""
+        return self.edits.read().groupBy("build", "path", "symbol", "kind").agg(F.min("ts").alias("ts")).drop("build")
+
+    def recent_activity(self, days: int = 7, limit: int = 20) -> DataFrame:
+        return memory.recent_activity(self.edit_log(), self.clock(), days, limit)
+
+    def vectors_of(self, *paths: str) -> DataFrame:
+        """(path, dim, vec) of the paths that have a vector."""
+        return self.vectors.read().filter(F.col("path").isin(*paths))
+
+    def files_with(self, text: str) -> DataFrame:
+        """(path) of the files whose body holds a text, in order."""
+        return self.files.read().filter(F.contains("body", F.lit(text))).select("path").orderBy("path")
 
     def recall(self, query: str, kind: str = "code", n: int = 10, spread: bool = True, chunks: bool = True) -> DataFrame:
         """(path, score, bm25, chunk columns) of the best files: lexical pool, import spreading, fusion with
@@ -141,7 +163,7 @@ class SourceIndex:
         nodes, docs, calls = self.nodes.read(), self.files.read(), self.calls.read()
         known = docs.select("path")
         code = docs.filter("format IN ('js', 'ts')")
-        placed = lambda df: df.join(graph.resolve_targets(df.select("path", "specifier"), known), ["path", "specifier"])
+        placed = lambda df: df.join(graph.resolve_targets(df.select("path", "specifier"), known, self.aliases()), ["path", "specifier"])
         re = placed(parse.reexports(code)).select(F.col("path").alias("barrel"), "symbol", "alias")
         bind = placed(parse.import_bindings(code)).select("path", F.col("target").alias("barrel"), "alias", "local")
         return graph.impact(nodes, docs, calls, nodes.select("id", "complexity"), want, graph.alias_callers(re, bind, calls))

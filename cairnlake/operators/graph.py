@@ -78,22 +78,41 @@ def _normal(path: Column) -> Column:
     return F.when(~F.contains(joined, F.lit("\x00")), joined)
 
 
-JS_ENDINGS = (".ts", ".tsx", ".js", ".mjs", ".cjs", ".jsx")
-
-
-def resolve_targets(imports: DataFrame, paths: DataFrame) -> DataFrame:
+# What is tried behind a JavaScript specifier, in this order.
+JS_FILE = ("", ".js", ".mjs", ".cjs", ".jsx", ".ts", ".tsx")
+JS_INDEX = ("/index.js", "/index.mjs", "/index.cjs", "/index.ts", "/index.tsx")
+
+
+def aliased(specifier: Column, aliases: list[tuple[str, str]]) -> Column:
+    """The path that an aliased specifier stands for, null without one: (pattern, target) pairs, the first that fits;
+    a pattern and its target may have one wildcard."""
+    out = F.lit(None).cast("string")
+    for pattern, target in reversed(aliases):
+        head, star, tail = pattern.partition("*")
+        before, _, after = target.partition("*")
+        if star:
+            inner = F.substring(specifier, F.lit(len(head) + 1), F.length(specifier) - len(head) - len(tail))
+            fits = specifier.startswith(head) & specifier.endswith(tail) & (F.length(specifier) >= len(head) + len(tail))
+            out = F.when(fits, F.concat(F.lit(before), inner, F.lit(after)) if "*" in target else F.lit(target)).otherwise(out)
+        else:
+            out = F.when(specifier == pattern, F.lit(target)).otherwise(out)
+    return out
+
+
+def resolve_targets(imports: DataFrame, paths: DataFrame, aliases: list[tuple[str, str]] | None = None) -> DataFrame:
     """(path, specifier, target) from (path, specifier) and the known paths (path).
 
     Python: an absolute name meets every file whose path ends with it (module or package), a relative one
-    climbs a directory per dot after the first. JavaScript: a relative specifier meets the first of itself,
-    with an ending, as a directory's index. Anything else is external and dropped.
+    climbs a directory per dot after the first. JavaScript: a relative specifier, or one that `aliases` turns into a
+    path, meets the first of itself, with an ending, as a directory's index. Anything else is external and dropped.
     """
     known = paths.select("path").filter("path IS NOT NULL").distinct()
     i = imports.filter("path IS NOT NULL AND specifier IS NOT NULL").select(F.col("path").alias("src"), F.col("specifier").alias("spec")).distinct()
     i = i.withColumn("py", extension(F.col("src")) == "py").withColumn("dir", F.regexp_replace("src", "/?[^/]*$", ""))
-    js = i.filter("NOT py AND spec LIKE '.%'").withColumn("base", _normal(F.concat_ws("/", "dir", "spec"))).filter("base IS NOT NULL")
-    bare = F.regexp_replace("base", r"\.(js|jsx|mjs|cjs)$", "")  # a .js specifier may name a .ts source
-    tries = F.array(F.col("base"), *[F.concat("base", F.lit(x)) for x in JS_ENDINGS], *[F.concat("base", F.lit(f"/index{x}")) for x in JS_ENDINGS], *[F.concat(bare, F.lit(x)) for x in JS_ENDINGS])
+    meant = F.when(F.col("spec").startswith("."), F.concat_ws("/", "dir", "spec")).otherwise(aliased(F.col("spec"), aliases or []))
+    js = i.filter("NOT py").withColumn("base", _normal(meant)).filter("base IS NOT NULL")
+    bare = F.regexp_replace("base", r"\.(js|jsx|mjs|cjs)$", "")  # last of all, a .js specifier may name a .ts source
+    tries = F.array(*[F.concat("base", F.lit(x)) for x in JS_FILE + JS_INDEX], *[F.concat(bare, F.lit(x)) for x in JS_FILE[1:]])
     js = js.select("src", "spec", F.posexplode(tries).alias("nth", "path")).join(known, "path").groupBy("src", "spec").agg(F.min_by("path", "nth").alias("dst"))
     py = i.filter("py")
     dots = F.length(F.regexp_extract("spec", r"^(\.*)", 1))
@@ -110,9 +129,9 @@ def resolve_targets(imports: DataFrame, paths: DataFrame) -> DataFrame:
     return out.distinct().select(F.col("src").alias("path"), F.col("spec").alias("specifier"), F.col("dst").alias("target"))
 
 
-def resolve_imports(imports: DataFrame, paths: DataFrame) -> DataFrame:
+def resolve_imports(imports: DataFrame, paths: DataFrame, aliases: list[tuple[str, str]] | None = None) -> DataFrame:
     """(type, src_path, dst_path): resolve_targets() as distinct edges, without those of a file to itself."""
-    out = resolve_targets(imports, paths).filter("path <> target")
+    out = resolve_targets(imports, paths, aliases).filter("path <> target")
     return out.select(F.lit("import").alias("type"), F.col("path").alias("src_path"), F.col("target").alias("dst_path")).distinct()
 
 

@@ -27,6 +27,15 @@ def current(ops: DataFrame) -> DataFrame:
     return last.filter("r.op = 'put'").select("owner", "id", *[F.col(f"r.{c}").alias(c) for c in rest if c != "op"])
 
 
+#: Between owner and id in a row key; neither may hold it.
+SEPARATOR = "\x1f"
+
+
+def row_key(owner: Column, id_: Column) -> Column:
+    """One string for (owner, id), the id alone in the shared tier; demand is logged under it, so tenants share none."""
+    return F.when(owner.isNull(), id_).otherwise(F.concat(owner, F.lit(SEPARATOR), id_))
+
+
 def demand(log: DataFrame) -> DataFrame:
     """The access log in order: one row per id, actions in lower case (null: recall), times in ms."""
     ms = F.when(F.col("ts") < 100_000_000_000, F.col("ts") * 1000).otherwise(F.col("ts"))
@@ -35,9 +44,9 @@ def demand(log: DataFrame) -> DataFrame:
 
 
 def history(log: DataFrame, ops: DataFrame) -> DataFrame:
-    """Rows of the log (path, seq) that came after the last delete of their path: an upsert keeps a row's
-    demand, a delete drops it."""
-    gone = ops.filter("op = 'del'").groupBy(F.col("id").alias("_p")).agg(F.max("seq").alias("_del"))
+    """Rows of the log (path, seq) that came after the last delete of their row, path being its row_key: an upsert
+    keeps a row's demand, a delete drops it."""
+    gone = ops.filter("op = 'del'").groupBy(row_key(F.col("owner"), F.col("id")).alias("_p")).agg(F.max("seq").alias("_del"))
     return log.join(gone, log["path"] == gone["_p"], "left").filter("_del IS NULL OR seq > _del").drop("_p", "_del")
 
 
@@ -49,8 +58,8 @@ def count_rows(docs: DataFrame, mem: DataFrame) -> DataFrame:
 
 
 def count_by_kind(rows: DataFrame, f: Fence, kinds: tuple[str, ...] = WRITTEN) -> DataFrame:
-    """(kind, n) of the fenced, live rows."""
-    ok = owned(F.col("owner"), f) & live(F.col("expires_at"), f.now) & F.col("kind").isin(*kinds)
+    """(kind, n) of the fenced, live rows; another session's episodes don't count."""
+    ok = owned(F.col("owner"), f) & in_session(F.col("session"), f) & live(F.col("expires_at"), f.now) & F.col("kind").isin(*kinds)
     return rows.filter(ok).groupBy("kind").agg(F.count("*").alias("n"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import subprocess
 import zipfile
@@ -50,10 +51,21 @@ def git_paths(root: str, pathspecs: list[str] | None = None) -> list[str] | None
     return out.stdout.splitlines()
 
 
+#: Up to so many wanted files are opened by name; more are met in a pass over the folder.
+NAMED_FILES = 10_000
+
+
 def contents(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
-    """(path, kind, format, body, hash) of the wanted paths only (a file not wanted is not hashed)."""
+    """(path, kind, format, body, hash) of the wanted paths only; up to NAMED_FILES of them, no other file is opened."""
     base = root.rstrip("/")
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    named = [r["path"] for r in paths.select("path").distinct().limit(NAMED_FILES + 1).collect()]
+    if not named:
+        return spark.createDataFrame([], "path string, kind string, format string, body string, hash string")
+    reader = spark.read.format("binaryFile")
+    if len(named) <= NAMED_FILES:
+        df = reader.load([f"{base}/" + re.sub(r"([\\*?{}\[\]])", r"\\\1", p) for p in named])
+    else:
+        df = reader.option("recursiveFileLookup", "true").load(base)
     rel = F.regexp_replace("path", "^.*?" + re.escape(re.sub(r"^\w+:/*", "/", base)) + "/", "")
     rows = df.select(rel.alias("path"), "content").join(paths.select("path").distinct(), "path", "left_semi")
     return rows.select("path", classify_path(F.col("path")).alias("c"), F.decode("content", "UTF-8").alias("body"), F.sha2("content", 256).alias("hash")).select("path", "c.kind", "c.format", "body", "hash")
@@ -189,3 +201,24 @@ def ingest(uploads: DataFrame, budget: int = SEGMENT, max_bytes: int = MAX_BYTES
     empty = texts.filter("error IS NULL").join(rows.select("name").distinct(), "name", "left_anti")
     return rows.unionByName(blobs).unionByName(reject(base.filter("big"), F.lit("too large"))).unionByName(reject(texts.filter("error IS NOT NULL"), F.col("error"))).unionByName(reject(empty, F.lit("no text")))
 
+
+# --- path aliases
+
+
+def load_ts_paths(config: str) -> list[tuple[str, str]]:
+    """(pattern, target) of a tsconfig's path aliases; comments and trailing commas are allowed."""
+    bare = re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", config, flags=re.S)
+    options = json.loads(re.sub(r",(\s*[}\]])", r"\1", bare)).get("compilerOptions", {})
+    base = options.get("baseUrl", ".").strip("./")
+    return [(k, f"{base}/{v[0]}".removeprefix("/").removeprefix("./").replace("/./", "/")) for k, v in options.get("paths", {}).items() if v]
+
+
+def apply_alias(specifier: str, aliases: list[tuple[str, str]]) -> str | None:
+    """The path that an aliased specifier stands for; at most one wildcard a pattern."""
+    for pattern, target in aliases:
+        head, star, tail = pattern.partition("*")
+        if star and specifier.startswith(head) and specifier.endswith(tail) and len(specifier) >= len(head) + len(tail):
+            return target.replace("*", specifier[len(head) : len(specifier) - len(tail)], 1)
+        if not star and specifier == pattern:
+            return target
+    return None

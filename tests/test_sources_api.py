@@ -154,6 +154,62 @@ def test_engine(spark):
         api.Engine(spark, "x", episode_days=0)
 
 
+def test_tenants_share_nothing_but_the_shared_tier(spark):
+    root, ticks = session.fresh_dir(spark, "e"), iter(range(1_800_000_000_000, 1_900_000_000_000, 1000))
+    made = lambda **k: api.Engine(spark, root, clock=lambda: next(ticks), **k)
+    a, b = made(owner="a", session="s1"), made(owner="b", strict=True, session="s2")
+    a.remember("fact:x", "alpha keeps the queue short", "fact")
+    b.remember("fact:x", "beta keeps the queue long", "fact")
+    a.remember("fact:only-a", "the queue of alpha", "fact")
+    a.remember("ep:1", "queue drained", "episode")
+    made(session="s3").remember("ep:2", "queue filled", "episode", scope="b")
+    host = api.StoreAdapter(b)
+    assert host.get("fact:x")["text"].startswith("beta") and host.get("fact:only-a") is None
+    assert {r["id"] for r in host.search("queue")} == {"fact:x"} and host.search("queue")[0]["text"].startswith("beta")
+    # demand is a row's own, not that of its id
+    assert [(r["id"], r["use"]) for r in a.recall("queue", ("fact",), log=False).orderBy("id").collect()] == [("fact:only-a", 0), ("fact:x", 0)]
+    assert b.recall("queue", ("fact",), log=False).first()["use"] == 2
+    # episodes of another session are neither counted nor listed
+    assert b.count(kinds=("episode",)) == 0 and b.enumerate("episode")["total"] == 0 and a.count(kinds=("episode",)) == 1
+    with pytest.raises(ScopeRequired):
+        made(strict=True).ingest("n.md", b"# A")
+    assert b.ingest("n.md", b"# A\ntext of b") == ["doc:n#0"] and a.get("doc:n#0") is None and b.get("doc:n#0") is not None
+    assert b.node("fact:x") == {"path": "fact:x", "kind": "fact", "format": "md", "chunks": [], "imports": 0, "imported_by": 0} and b.node("doc:n#0") is None
+    assert [(r["id"], r["hits"]) for r in b.review(threshold=2).collect()] == [("fact:x", 2)] and a.review(threshold=1).count() == 0
+    assert b.promotions(threshold=1).count() == 0
+
+
+def test_recall_has_two_domains_and_nominees(spark):
+    ticks = iter(range(1_800_000_000_000, 1_900_000_000_000, 1000))
+    asked = []
+
+    def embed(text):
+        asked.append(text)
+        return [float("cat" in text or "feline" in text), float("dog" in text), 0.1]
+
+    e = api.Engine(spark, session.fresh_dir(spark, "e"), clock=lambda: next(ticks), embed=embed)
+    for i, t in enumerate(("caching answers helps", "a feline sleeps", "dogs bark", "nothing at all", "the answer")):
+        e.remember(f"fact:{i}", t, "fact")
+    e.ingest("n.md", b"# A\ncaching answers")
+    got = {r["id"]: r for r in e.recall("cached answers of a cat", ("fact",), log=False).collect()}
+    assert got["fact:0"]["score"] > got["fact:4"]["score"] > 0  # stems: cached meets caching
+    assert got["fact:1"]["score"] == 0 and got["fact:1"]["cosine"] > 0.9  # a nominee by cosine alone
+    docs = e.recall("cached answer", ("doc",), log=False)
+    assert docs.count() == 0 and e.recall("answers", ("doc",), log=False).first()["cosine"] is None  # no stems among documents
+    before = len(asked)
+    e.recall("answers", ("doc",), log=False)
+    assert len(asked) == before  # the vector of a query is kept
+
+
+def test_javascript_resolution_order_and_aliases(spark):
+    known = spark.createDataFrame([(p,) for p in ("w/a.js", "w/a.ts", "w/d/index.ts", "w/d/index.mjs", "src/lib/x.ts", "src/ui/index.ts", "w/o.tsx")], "path string")
+    want = {"./a": "w/a.js", "./d": "w/d/index.mjs", "@lib/x": "src/lib/x.ts", "@ui": "src/ui/index.ts", "./o": "w/o.tsx", "react": None}
+    said = spark.createDataFrame([("w/m.ts", s) for s in want], "path string, specifier string")
+    got = {r["specifier"]: r["target"] for r in graph.resolve_targets(said, known, [("@ui", "src/ui/index.ts"), ("@lib/*", "src/lib/*")]).collect()}
+    assert got == {k: v for k, v in want.items() if v}
+    assert set(graph.resolve_targets(said, known).toPandas()["specifier"]) == {"./a", "./d", "./o"}
+
+
 def test_aliases_of_paths():
     a = api.load_ts_paths('{ // c\n "compilerOptions": {"baseUrl": "./src", "paths": {"@ui": ["./ui/index.ts"], "@lib/*": ["lib/*"],}} }')
     assert api.apply_alias("@lib/x/y", a) == "src/lib/x/y" and api.apply_alias("react", a) is None
