@@ -17,7 +17,7 @@ from .functions import text as T
 from .functions.stem import stem, stem_postings
 from .operators import folds, lexical, memory, rank
 from .operators.fences import GLOBAL, Fence, fence_of, in_session, live, owned
-from .operators.incremental import VersionedTable
+from .operators.incremental import VersionConflict, VersionedTable
 from .session import materialize
 from .sources import files
 from .sources.files import apply_alias, load_ts_paths  # noqa: F401 - part of this interface
@@ -25,6 +25,8 @@ from .sources.files import apply_alias, load_ts_paths  # noqa: F401 - part of th
 #: Rows of a kind that are fused with cosine, at least.
 SEMANTIC_POOL = 400
 CACHED_QUERIES = 128
+#: Tries of a write that meets others; files of the log from which on a write also compacts it.
+RETRIES, COMPACT_AT = 5, 256
 
 
 class WriteDenied(PermissionError):
@@ -121,10 +123,20 @@ class Engine:
     def _seq(self) -> int:
         return self.ops.latest() + 1
 
-    def _append(self, rows: list[dict], seq: int) -> int:
+    def _append(self, rows: list[dict]) -> int:
+        """Commit rows on top of the latest version; a writer that was faster is let go first."""
         names = self.ops.schema.names
-        data = [tuple({**r, "seq": seq}.get(n) for n in names) for r in rows]
-        return self.ops.append(self.spark.createDataFrame(data, self.ops.schema), base=seq - 1)
+        for left in reversed(range(RETRIES)):
+            seq = self._seq()
+            data = [tuple({**r, "seq": seq}.get(n) for n in names) for r in rows]
+            try:
+                version = self.ops.append(self.spark.createDataFrame(data, self.ops.schema), base=seq - 1)
+            except VersionConflict:
+                if not left:
+                    raise
+                continue
+            return self.ops.compact(1) if len(self.ops.manifest(version).files) > COMPACT_AT else version
+        raise AssertionError
 
     def _delete(self, rows: DataFrame, seq: int) -> int:
         n = rows.count()
@@ -153,7 +165,7 @@ class Engine:
             "occurred_at": occurred_at if occurred_at is not None else now if kind == "episode" else None, "created_at": now, "expires_at": expires_at, "text": text,
             "meta": json.dumps(meta) if meta is not None else None, "vec": self.embed(text) if self.embed else None,
         }
-        self._append([row], self._seq())
+        self._append([row])
         self._note("remember", {"id": id, "kind": kind}, "1 row")
 
     def ingest(self, name: str, content: bytes, by: str = "human", scope=None, expires_at: int | None = None) -> list[str]:
@@ -168,7 +180,7 @@ class Engine:
         old = self.rows().filter(F.col("owner").eqNullSafe(owner) & (F.col("kind") == "doc") & ((F.col("id") == base) | F.col("id").startswith(base + "#"))).select("id").collect()
         now, keep = self.clock(), {r["id"] for r in made}
         puts = [{"op": "put", "owner": owner, "id": r["id"], "kind": "doc", "format": r["format"], "provenance": by, "created_at": now, "expires_at": expires_at, "text": r["text"], "bytes": r["bytes"]} for r in made]
-        self._append([*puts, *({"op": "del", "owner": owner, "id": r["id"], "kind": "doc"} for r in old if r["id"] not in keep)], self._seq())
+        self._append([*puts, *({"op": "del", "owner": owner, "id": r["id"], "kind": "doc"} for r in old if r["id"] not in keep)])
         self._note("ingest", {"name": name}, f"{len(made)} segments")
         return [r["id"] for r in made]
 

@@ -9,6 +9,7 @@ from ..functions.text import extension, risk
 from ..session import materialize
 
 MAX_HOPS = 3
+SYMBOLS_BROADCAST = 500_000
 # Fixed value: names that say nothing about who is called.
 SKIPPED_CALLEES = ("constructor", "toString", "valueOf", "__init__", "__call__", "self", "super")
 
@@ -141,11 +142,14 @@ def resolve_imports(imports: DataFrame, paths: DataFrame, aliases: list[tuple[st
 def mentions(docs: DataFrame, symbols: DataFrame) -> DataFrame:
     """(symbol, path, line, n): whole-word occurrences of each symbol in every line, lines from 0.
 
-    Lines are cut into words once and joined with the symbols; no text is searched per symbol.
+    Lines are cut into words once and joined with the symbols; no text is searched per symbol. Up to SYMBOLS_BROADCAST
+    symbols are broadcast, so that words that are none are never shuffled.
     """
     lines = docs.filter("path IS NOT NULL AND body IS NOT NULL").select("path", "body").distinct().select("path", F.posexplode(F.split("body", "\r?\n", -1)).alias("line", "text"))
     words = lines.select("path", "line", F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z0-9_$]+)"), F.lit(1))).alias("symbol"))
-    return words.join(symbols.select("symbol").distinct(), "symbol").groupBy("symbol", "path", "line").agg(F.count("*").alias("n"))
+    asked = symbols.select("symbol").distinct()
+    few = asked.limit(SYMBOLS_BROADCAST + 1).count() <= SYMBOLS_BROADCAST
+    return words.join(F.broadcast(asked) if few else asked, "symbol").groupBy("symbol", "path", "line").agg(F.count("*").alias("n"))
 
 
 def outside(uses: DataFrame, defs: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ A table is a folder of immutable data files and manifests. The manifest of a ver
 files and its deletion vectors (tables of file and row position). A version exists once its manifest has
 been renamed into place, which fails if that version is taken; files of a commit that did not get so far are
 never read. The difference of two versions follows from their manifests: rows of added files, rows of
-removed files, and rows whose position a new deletion vector names; unchanged files are not opened.
+removed files, and rows whose position a new deletion vector names; of the files that stayed only those that
+a new vector names are opened. compact() rewrites small files and applies old vectors; it changes no row, and
+differences that span it are made of the spans before and after.
 
 A consumer stores the version it has processed in the manifest of its own output, so output and progress
 become visible in one step: an interrupted run leaves no trace, a repeated one finds nothing to do.
@@ -21,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FILE, POS, CHANGE = "_file", "_pos", "_change"
+#: The property that lists the versions made by compact().
+COMPACTED = "compacted"
 #: More run intervals than this are joined by shuffle instead of broadcast.
 RUNS_BROADCAST = 100_000
 
@@ -171,7 +175,17 @@ class VersionedTable:
     # --- differences
 
     def changes(self, since: int, until: int | None = None) -> DataFrame:
-        """(_change, columns): rows deleted from version `since` and inserted up to version `until`."""
+        """(_change, columns): rows deleted from version `since` and inserted up to version `until`, step by step over
+        each compaction between the two."""
+        until = self.latest() if until is None else until
+        whole = [v for v in self.manifest(until).properties.get(COMPACTED, []) if since < v <= until]
+        out = None
+        for a, b in zip([since, *whole], [*(v - 1 for v in whole), until]):
+            if a < b or out is None and b == until:
+                out = self._difference(a, b) if out is None else out.unionByName(self._difference(a, b))
+        return out
+
+    def _difference(self, since: int, until: int) -> DataFrame:
         a, b = self.manifest(since), self.manifest(until)
         came = [f for f in b.files if f not in set(a.files)]
         went = [f for f in a.files if f not in set(b.files)]
@@ -180,10 +194,22 @@ class VersionedTable:
         removed = self._live(went, a.vectors)
         fresh = self._deleted([v for v in b.vectors if v not in set(a.vectors)])
         if fresh is not None and stayed:
-            removed = removed.unionByName(self._rows(stayed).join(fresh, [FILE, POS], "left_semi"))
+            named = {r[FILE] for r in fresh.select(FILE).distinct().collect()}  # no more than the manifest has
+            touched = [f for f in stayed if f in named]
+            if touched:
+                removed = removed.unionByName(self._rows(touched).join(fresh, [FILE, POS], "left_semi"))
         mark = lambda df, what: df.select(F.lit(what).alias(CHANGE), *self.schema.names)
         return mark(inserted, "insert").unionByName(mark(removed, "delete"))
 
+    def compact(self, files: int | None = None, base: int | None = None) -> int:
+        """Commit the live rows in `files` new files (as many as Spark makes of them) without deletion vectors; no row
+        changes. Old files stay for readers of older versions."""
+        m = self.manifest(base)
+        live = self._live(m.files, m.vectors).select(*self.schema.names)
+        added = self._store(live.coalesce(files) if files else live, "data") if m.files else []
+        mark = {COMPACTED: [*m.properties.get(COMPACTED, []), m.version + 1]}
+        return self._publish(Manifest(m.version + 1, tuple(added), (), m.properties | mark))
+
 
 def process_new(source: VersionedTable, target: VersionedTable, work: Callable[[DataFrame], DataFrame], name: str = "source") -> int | None:
     """Apply work to what changed in source since target last did, and commit its rows to target.
@@ -237,11 +263,18 @@ def present_content(scan: DataFrame) -> DataFrame:
 def paths_to_process(file_index: DataFrame, runs: DataFrame, scan: DataFrame, root: str) -> DataFrame:
     """(path) that the next index run has to process: present content unlike the stored one, or none stored.
 
-    The stored state becomes version 1 of a table under root, the listing is merged as version 2, and the
-    rows inserted between the two are the answer. A path that is only in the state is a deletion there.
+    Two tables are kept under root. The first version of `content` is the state that successful runs have stored; each
+    listing is merged into it as a further version. process_new() carries what a listing inserted into the table
+    `todo`, whose manifest holds the version of content that is processed: a listing that changes nothing adds
+    nothing, and a call that died is made up for by the next one. The rows of todo wait there for the index run, which
+    takes them by process_new() as well. A path that is only in the state is a deletion in content.
     """
-    table = VersionedTable(file_index.sparkSession, root, "path string, hash string")
-    table.append(indexed_state(file_index, runs))
-    before = table.latest()
-    table.merge(present_content(scan), ["path"], lambda old, new: old("hash").eqNullSafe(new("hash")))
-    return table.changes(before).filter(F.col(CHANGE) == "insert").select("path")
+    content = VersionedTable(file_index.sparkSession, f"{root}/content", "path string, hash string")
+    todo = VersionedTable(file_index.sparkSession, f"{root}/todo", "path string")
+    if content.latest() == 0:
+        content.append(indexed_state(file_index, runs))
+    if todo.latest() == 0:  # what is stored already is processed
+        todo.append(todo.read(0), {"processed.content": 1})
+    content.merge(present_content(scan), ["path"], lambda old, new: old("hash").eqNullSafe(new("hash")))
+    process_new(content, todo, lambda changes: changes.filter(F.col(CHANGE) == "insert").select("path"), "content")
+    return todo.read().distinct()

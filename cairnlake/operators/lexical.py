@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import term_count, word_count
+from ..session import materialize
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 #: Queries with more term rows than this are joined by shuffle.
@@ -59,9 +60,16 @@ def bm25(corpus: DataFrame, terms: list[str], keep: Column | None = None) -> Dat
     return counted.filter(hit if keep is None else hit & keep).withColumn("score", score).drop("_c")
 
 
-def postings(corpus: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, dl, term, tf): the inverted index; rows without tokens give none."""
-    return corpus.select(*keys, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
+def postings(corpus: DataFrame, keys: list[str], terms: DataFrame | None = None) -> DataFrame:
+    """(keys, dl, term, tf): the inverted index, or what it holds of terms (term); rows without tokens give none.
+
+    Words of other terms are left out before anything is shuffled; terms are broadcast if they are few.
+    """
+    words = corpus.select(*keys, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    if terms is not None:
+        asked = terms.select("term").distinct()
+        words = words.join(F.broadcast(asked) if asked.limit(QUERY_BROADCAST + 1).count() <= QUERY_BROADCAST else asked, "term", "left_semi")
+    return words.groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(corpus: DataFrame) -> DataFrame:
@@ -81,6 +89,7 @@ def bm25_many(index: DataFrame, stats: DataFrame, queries: DataFrame, keys: list
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
     few = asked.limit(QUERY_BROADCAST + 1).count() <= QUERY_BROADCAST
     side = F.broadcast(asked) if few else asked
-    wanted = index.join(F.broadcast(asked.select("term").distinct()) if few else asked.select("term").distinct(), "term", "left_semi")
+    # read twice below, so written down: its plan may reach back to the texts
+    wanted = materialize(index.join(F.broadcast(asked.select("term").distinct()) if few else asked.select("term").distinct(), "term", "left_semi"), "wanted")
     scored = wanted.join(document_frequency(wanted), "term").crossJoin(F.broadcast(stats)).withColumn("part", idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("dl"), F.col("mean")))
     return scored.join(side, "term").groupBy("query_id", *keys).agg(F.sum("part").alias("score"))

@@ -106,9 +106,10 @@ RECALL_FENCED = _S + f" SELECT doc_id, kind, owner, round(score, 6) AS score FRO
 
 def recall_many(spark: SparkSession, d: str) -> DataFrame:
     """Every shared memory as a query over an inverted index of the documents: its three best rows."""
-    index = lexical.postings(_corpus(spark, d), ["doc_id"])
+    corpus = materialize(_corpus(spark, d).select("doc_id", "tokens"), "tokens")  # texts are cut into words once
     asked = _t(spark, d, "mem_text").select(F.col("path").alias("query_id"), T.keywords(F.col("text")).alias("terms"))
-    scored = lexical.bm25_many(index, lexical.corpus_stats(_corpus(spark, d)), asked, ["doc_id"])
+    index = lexical.postings(corpus, ["doc_id"], asked.select(F.explode("terms").alias("term")))
+    scored = lexical.bm25_many(index, lexical.corpus_stats(corpus), asked, ["doc_id"])
     return rank.top_per(scored.withColumn("score", F.round("score", 6)), ["query_id"], 3, key="doc_id").select("query_id", "rank", "doc_id", "score")
 
 

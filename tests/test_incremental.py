@@ -31,6 +31,29 @@ def test_versions_and_changes(spark, table):
         table._publish(Manifest(2))
 
 
+def test_compaction_changes_no_row(spark, table):
+    for i in range(4):
+        table.append(rows(spark, (i, "a")))
+    table.merge(rows(spark, (0, "a"), (1, "b"), (2, "a")), ["k"], same)
+    at = table.compact(1)
+    assert at == 6 and len(table.manifest().files) == 1 and not table.manifest().vectors
+    assert sorted(map(tuple, table.read().collect())) == [(0, "a"), (1, "b"), (2, "a")] == sorted(map(tuple, table.read(5).collect()))
+    assert table.changes(5).count() == 0 == table.changes(6).count()
+    table.append(rows(spark, (9, "z")))
+    assert sorted(map(tuple, table.changes(4).collect())) == [("delete", 1, "a"), ("delete", 3, "a"), ("insert", 1, "b"), ("insert", 9, "z")]
+    assert VersionedTable(spark, table.root + "x", table.schema).compact() == 1
+
+
+def test_unchanged_files_are_not_opened(spark, table):
+    for i in range(6):
+        table.append(rows(spark, (i, "a")))
+    v = table.latest()
+    table.merge(rows(spark, *[(i, "b" if i == 3 else "a") for i in range(6)]), ["k"], same)
+    opened = []
+    read, table._rows = table._rows, lambda files: opened.extend(files) or read(files)
+    assert sorted(map(tuple, table.changes(v).collect())) == [("delete", 3, "a"), ("insert", 3, "b")] and len(opened) == 2
+
+
 def test_a_failed_run_is_repeated_whole_and_a_done_one_is_not(spark, table):
     out = VersionedTable(spark, session.fresh_dir(spark, "o"), "k long")
     table.append(rows(spark, (1, "a"), (2, "b")))
@@ -67,6 +90,15 @@ def test_paths_to_process(spark):
     ], SCAN)
     root = session.fresh_dir(spark, "p2")
     assert sorted(r["path"] for r in paths_to_process(index, runs, scan, root).collect()) == ["changed", "half", "killed", "new", "twice"]
+    # a repeated call redoes nothing, one that died before its commit is made up for
+    again = VersionedTable(spark, f"{root}/todo", "path string")
+    before = again.latest()
+    assert paths_to_process(index, runs, scan, root).count() == 5 and again.latest() == before
+    later = spark.createDataFrame([(11, "same", H[1], 1, 1, 20)], SCAN)
+    content = VersionedTable(spark, f"{root}/content", "path string, hash string")
+    content.merge(present_content(scan.unionByName(later)), ["path"], lambda old, new: old("hash").eqNullSafe(new("hash")))
+    got = paths_to_process(index, runs, scan.unionByName(later), root)
+    assert sorted(r["path"] for r in got.collect()) == ["changed", "half", "killed", "new", "same", "twice"] and again.read().count() == 6
     assert {tuple(r) for r in present_content(scan).filter("path = 'twice'").collect()} == {("twice", H[1])}
     assert indexed_state(index, runs.limit(0)).count() == 0
     assert paths_to_process(index.limit(0), runs, scan.limit(0), root + "e").count() == 0
