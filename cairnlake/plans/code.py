@@ -131,24 +131,30 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def streaming_demand(spark: SparkSession, d: str) -> DataFrame:
-    """Recalls by day and kind of the log as a stream; windows that the watermark has closed."""
-    out = fresh_dir(spark, "stream")
+    """Recalls by day and path of the log as a stream, days that are still open included."""
     rows = logs.demand_windows(logs.deduplicated(_stream(spark, d)), "1 day")
-    q = rows.select("window.start", "path", "recalls").writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema("start timestamp, path string, recalls long").parquet(f"{out}/rows")
+    day = F.unix_millis("window.start").alias("day")
+    return logs.gathered(rows.select(day, "path", "recalls"), fresh_dir(spark, "stream"), ["day", "path"])
+
+
+_LOG = """lg AS (SELECT id, path, kind, lower(coalesce(action, 'recall')) AS action, CASE WHEN ts < 100000000000 THEN ts * 1000 ELSE ts END AS ts FROM (SELECT DISTINCT * FROM recall_log))"""
+STREAM_DEMAND = f"WITH {_LOG} SELECT ts // 86400000 * 86400000 AS day, path, count(*) AS recalls FROM lg WHERE action = 'recall' GROUP BY ALL"
 
 
 def streaming_sessions(spark: SparkSession, d: str) -> DataFrame:
-    out = fresh_dir(spark, "stream")
-    rows = logs.sessions(_stream(spark, d))
-    q = rows.select("window.start", "window.end", "kind", "n").writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema("start timestamp, end timestamp, kind string, n long").parquet(f"{out}/rows")
+    """Bursts of activity of each kind, rows delivered twice counted once, the last bursts included."""
+    rows = logs.sessions(logs.deduplicated(_stream(spark, d)))
+    ends = [F.unix_millis(f"window.{c}").alias(c) for c in ("start", "end")]
+    return logs.gathered(rows.select(*ends, "kind", "n"), fresh_dir(spark, "stream"), ["kind", "start"], "complete")
+
+
+SESSIONS = f"""WITH {_LOG}, o AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + 1800000 THEN 1 ELSE 0 END AS begins FROM lg WINDOW w AS (PARTITION BY kind ORDER BY ts, id)),
+s AS (SELECT *, sum(begins) OVER (PARTITION BY kind ORDER BY ts, id) AS session FROM o)
+SELECT min(ts) AS "start", max(ts) + 1800000 AS "end", kind, count(*) AS n FROM s GROUP BY kind, session"""
 
 
 def demand_thresholds(spark: SparkSession, d: str) -> DataFrame:
-    """Demand by kind and action as cube, with an approximate count of paths."""
+    """Demand by kind and action as a cube, with the number of different paths."""
     log = memory.demand(_t(spark, d, "recall_log"))
     return log.cube("kind", "action").agg(F.count("*").alias("n"), F.countDistinct("path").alias("paths"))
 
@@ -158,7 +164,7 @@ SELECT kind, action, count(*) AS n, count(DISTINCT path) AS paths FROM lg GROUP
 
 QUERIES = {
     code_chunks: None, code_calls: None, code_imports: None, resolved_imports: None, signatures: None, change_impact: None, classify_paths: CLASSIFY, snapshot_diff: SNAPSHOT, edited_chunks: None,
-    git_activity: GIT, stale_stamps: STALE, ingest_uploads: None, assemble_rescued: None, streaming_demand: None, streaming_sessions: None, demand_thresholds: CUBE,
+    git_activity: GIT, stale_stamps: STALE, ingest_uploads: None, assemble_rescued: None, streaming_demand: STREAM_DEMAND, streaming_sessions: SESSIONS, demand_thresholds: CUBE,
 }
 
 

@@ -56,6 +56,28 @@ def threshold_crossings(log: DataFrame, threshold: int, ttl_ms: int | None = Non
     return log.select("path", "action").groupBy("path").applyInPandasWithState(step, "path string, recalls long", "n long", "append", timeout)
 
 
+def gathered(stream: DataFrame, folder: str, keys: list[str], mode: str = "update") -> DataFrame:
+    """What a stream of aggregates has come to when everything that has arrived is read, open windows included.
+
+    Each micro-batch writes the groups it changed (mode update) or all of them (complete, for what can't be updated)
+    under its number, so a repeated batch replaces its own rows; of each group the row of the last batch counts.
+    """
+    spark, rest = stream.sparkSession, [c for c in stream.columns if c not in keys]
+
+    def write(df: DataFrame, n: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/rows/batch={n}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    schema = stream.schema.add("batch", "long")
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{folder}/rows/batch=-1")
+    rows = spark.read.schema(schema).parquet(f"{folder}/rows")
+    if mode == "complete":
+        rows = rows.filter(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+        return rows.drop("batch")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
+
+
 def into(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None]):
     """Apply work to every micro-batch of what has arrived, then stop; work must be idempotent per batch id."""
     return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
