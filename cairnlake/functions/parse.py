@@ -7,7 +7,9 @@ blanked out first, then definitions are found by their opening and closed by mat
 from __future__ import annotations
 
 import ast
+import io
 import re
+import tokenize
 import textwrap
 from bisect import bisect_right
 from dataclasses import dataclass
@@ -300,8 +302,38 @@ def bindings_of(text: str) -> list[tuple[str, str, str]]:
 # --- one entry per language
 
 
+def _comments(fmt: str, text: str) -> dict[int, tuple[int, bool]]:
+    """Comments with lines of their own: last line -> (first line, whether it is a block)."""
+    if fmt == "py":
+        try:
+            tokens = list(tokenize.generate_tokens(io.StringIO(text).readline))
+        except (tokenize.TokenError, SyntaxError):
+            return {}
+        rows = [t.start[0] - 1 for t in tokens if t.type == tokenize.COMMENT and t.line.lstrip().startswith("#")]
+        return {r: (r, False) for r in rows}
+    starts, out = _line_starts(text), {}
+    for m in _BLANK.finditer(text):
+        if m[0][:2] not in ("//", "/*"):
+            continue
+        first, last = (bisect_right(starts, at) - 1 for at in (m.start(), m.end() - 1))
+        after = text.find("\n", m.end())
+        if not text[starts[first] : m.start()].strip() and not text[m.end() : after if after >= 0 else None].strip():
+            out[last] = (first, m[0][1] == "*")
+    return out
+
+
+def _uncovered(spans: list[tuple[int, int]], n: int) -> list[int]:
+    """The lines of 0..n-1 that lie in no span (first, last)."""
+    out, at = [], 0
+    for first, last in sorted(spans):
+        out += range(at, first)
+        at = max(at, last + 1)
+    return [*out, *range(at, n)]
+
+
 def chunks_of(fmt: str | None, text: str) -> list[tuple[Chunk, str]]:
-    """Chunks with their text: each definition with the comments right above it, then what is left."""
+    """Chunks with their text: each definition with the comments right above it (line comments, or one block and the
+    line comments under it), then what is left."""
     lines = text.split("\n")
     whole = [(Chunk(None, "file", 0, len(lines) - 1), text)]
     if fmt not in PARSED:
@@ -310,18 +342,14 @@ def chunks_of(fmt: str | None, text: str) -> list[tuple[Chunk, str]]:
         found = _py_chunks(text) if fmt == "py" else _js_chunks(text)
     except Unparsable:
         return whole
-    out, covered = [], [False] * len(lines)
+    above = _comments(fmt, text)
     for c in found:
-        while c.start > 0 and (t := lines[c.start - 1].strip()) and (t.startswith(("//", "#", "/*", "*")) or t.endswith("*/")):
-            c.start -= 1
-            if t.startswith("/*"):
-                break
-        covered[c.start : c.end + 1] = [True] * (c.end + 1 - c.start)
-        out.append((c, "\n".join(lines[c.start : c.end + 1])))
-    rest = "\n".join(x for x, used in zip(lines, covered) if not used).strip()
-    if rest:
-        out.append((Chunk(None, "preamble", 0, len(lines) - 1), rest))
-    return out
+        block = False
+        while not block and c.start - 1 in above:
+            c.start, block = above[c.start - 1]
+    rest = "\n".join(lines[i] for i in _uncovered([(c.start, c.end) for c in found], len(lines))).strip()
+    chunks = [(c, "\n".join(lines[c.start : c.end + 1])) for c in found]
+    return chunks + ([(Chunk(None, "preamble", 0, len(lines) - 1), rest)] if rest else [])
 
 
 def calls_of(fmt: str | None, text: str) -> list[tuple[int, str, str | None]]:

@@ -150,9 +150,16 @@ def retrieval_quality(ranked: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> Dat
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """One row: the area under the curve, from positions among the distinct scores, ties shared."""
+    """One row: the area under the curve, from positions among the distinct scores, ties shared.
+
+    Distinct scores are laid out by range; a position is what lies in lower ranges plus the place in its own, so no task
+    holds them all.
+    """
     groups = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    before = groups.withColumn("under", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    laid = materialize(groups.repartitionByRange(F.col(score)).withColumn("part", F.spark_partition_id()), "scores")
+    lower = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    shares = laid.groupBy("part").agg(F.sum("n").alias("m")).withColumn("ahead", F.coalesce(F.sum("m").over(lower), F.lit(0))).drop("m")
+    below = Window.partitionBy("part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    before = laid.join(F.broadcast(shares), "part").withColumn("under", F.col("ahead") + F.coalesce(F.sum("n").over(below), F.lit(0)))
     sums = before.agg(F.sum(F.col("pos") * (F.col("under") + (F.col("n") + 1) / 2.0)).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     return sums.select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * (F.col("n") - F.col("p")))).alias("auc"))

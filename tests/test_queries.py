@@ -4,7 +4,7 @@ import importlib
 
 import pytest
 
-MODULES = [importlib.import_module(m) for m in ("cairnlake.plans.queries", "cairnlake.plans.code", "cairnlake.plans.pipeline")]
+MODULES = [importlib.import_module(m) for m in ("cairnlake.plans.queries", "cairnlake.plans.code", "cairnlake.plans.functions", "cairnlake.plans.pipeline")]
 QUERIES = {k: v for m in MODULES for k, v in m.queries().items()}
 SQL = {k: v for m in MODULES for k, v in m.oracle_sql().items()}
 
