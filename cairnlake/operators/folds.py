@@ -1,14 +1,16 @@
 """Order-dependent fitting of units into a budget, packing of paragraphs, and sections of markdown.
 
 Skipping a unit changes the room left for every later one, so no running total can express the fit. It is a
-fold over the ordered units of one conversation, done in the JVM by aggregate().
+fold over the ordered units of one conversation, which stream by sorted in Arrow batches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,36 @@ def _flag(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(False))
 
 
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """a with what b has under the same keys, null meeting null."""
+    b = b.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return a.join(b, on, "left").drop(*[f"_k_{k}" for k in keys])
+
+
+def _fold(items: DataFrame, conv: str, limit: float) -> DataFrame:
+    """items (conv, _item, pos, tok, forced, used) with _ok, whether an item fits, and _after, what is used then: the
+    latest position first, from `used` on. Rows stream by in order, so of a conversation only a sum is held."""
+    names = [conv, "_item", "_ok", "_after"]
+    kind = dict(items.dtypes)[conv]
+
+    def run(batches):
+        begun, last, used = False, None, 0.0
+        for b in batches:
+            ok, after = [], []
+            for c, tok, forced, base in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4))):
+                if not begun or c != last:
+                    begun, last, used = True, c, base
+                fits = forced or used + tok <= limit
+                used = used + tok if fits else used
+                ok.append(fits)
+                after.append(used)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_()), pa.array(after, pa.float64())], names)
+
+    laid = items.repartition(F.col(conv)).sortWithinPartitions(F.col(conv), F.desc("pos"))
+    return laid.select(conv, "_item", F.col("tok").cast("double"), "forced", "used").mapInArrow(run, f"`{conv}` {kind}, _item string, _ok boolean, _after double")
+
+
 def assemble(units: DataFrame, budget: float | None, signature: Callable[[Column], Column] | None = None, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
     """units with kept, tokens, compressed, content: what fits into the budget, each conversation by itself.
 
@@ -33,7 +65,7 @@ def assemble(units: DataFrame, budget: float | None, signature: Callable[[Column
     of content, format, symbol) is smaller and fits come back as that. No budget keeps everything. Order is
     by turn; rows with a null turn come first. A row of units is one unit; null ids are units of their own.
     """
-    limit = F.lit(float("inf") if budget is None else float(budget))
+    limit = float("inf") if budget is None else float(budget)
     u = units.withColumn("_tok", tokens_of(F.col("tokensApprox"), F.col("content"))).withColumn("_pin", _flag("pinned"))
     order = Window.partitionBy(conv).orderBy(F.col(turn).asc_nulls_first(), "id")
     u = u.withColumn("_pos", F.row_number().over(order))
@@ -42,31 +74,24 @@ def assemble(units: DataFrame, budget: float | None, signature: Callable[[Column
     per_item = u.groupBy(conv, "_item").agg(
         F.sum(F.when(~F.col("_pin"), F.col("_tok"))).alias("tok"), F.max(F.when(~F.col("_pin"), F.col("_pos"))).alias("pos"), F.max("_pin").alias("forced"), F.sum(F.when(F.col("_pin"), F.col("_tok"))).alias("pre")
     )
-    state = F.struct(F.lit(0.0).alias("used"), F.array().cast("array<string>").alias("kept"))
-    per_conv = per_item.groupBy(conv).agg(
-        F.coalesce(F.sum("pre"), F.lit(0.0)).alias("pre"),
-        F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct((-F.col("pos")).alias("at"), "_item", "tok", "forced")))).alias("items"),
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        ok = x["forced"] | (acc["used"] + x["tok"] <= limit)
-        return F.struct(F.when(ok, acc["used"] + x["tok"]).otherwise(acc["used"]).alias("used"), F.when(ok, F.concat(acc["kept"], F.array(x["_item"]))).otherwise(acc["kept"]).alias("kept"))
-
-    fit = per_conv.withColumn("f", F.aggregate("items", state.withField("used", F.col("pre")), step)).select(conv, F.col("f.used").alias("_used"), F.col("f.kept").alias("_fit"))
-    out = u.join(fit, conv).withColumn("kept", F.col("_pin") | F.array_contains("_fit", F.col("_item")))
+    pre = per_item.groupBy(conv).agg(F.coalesce(F.sum("pre"), F.lit(0.0)).alias("used"))
+    first = _same(per_item.filter("pos IS NOT NULL"), pre, [conv]).select(conv, "_item", "pos", "tok", F.coalesce("forced", F.lit(False)).alias("forced"), "used")
+    fit = _fold(first, conv, limit)
+    out = _same(u, fit.select(conv, "_item", "_ok"), [conv, "_item"]).withColumn("kept", F.col("_pin") | F.coalesce("_ok", F.lit(False))).drop("_ok")
     if signature is None:
         out = out.withColumn("tokens", F.when(F.col("kept"), F.col("_tok"))).withColumn("compressed", F.lit(False))
     else:
         single = F.col("_item").startswith("u") & ~F.col("_pin") & F.col("kind").isin("code", "doc") & F.col("format").isNotNull() & (F.coalesce("content", F.lit("")) != "")
         out = out.withColumn("_sig", F.when(~F.col("kept") & single, signature(F.struct("content", "format", "symbol"))))
         out = out.withColumn("_sigtok", F.ceil(F.char_length("_sig") / 4.0).cast("double"))
-        offers = out.filter("_sig IS NOT NULL AND _sigtok < _tok").groupBy(conv).agg(F.first("_used").alias("used"), F.sort_array(F.collect_list(F.struct((-F.col("_pos")).alias("at"), F.col("_sigtok").alias("tok"), "_item", F.lit(False).alias("forced")))).alias("items"))
-        saved = offers.select(conv, F.aggregate("items", state.withField("used", F.col("used")), step)["kept"].alias("_saved"))
-        out = out.join(saved, conv, "left").withColumn("compressed", F.coalesce(F.array_contains("_saved", F.col("_item")), F.lit(False)))
+        spent = _same(pre, fit.groupBy(conv).agg(F.max("_after").alias("_after")), [conv]).select(conv, F.coalesce("_after", "used").alias("used"))
+        offers = out.filter("_sig IS NOT NULL AND _sigtok < _tok").select(conv, "_item", F.col("_pos").alias("pos"), F.col("_sigtok").alias("tok"), F.lit(False).alias("forced"))
+        saved = _fold(_same(offers, spent, [conv]), conv, limit).select(conv, "_item", "_ok")
+        out = _same(out, saved, [conv, "_item"]).withColumn("compressed", F.coalesce("_ok", F.lit(False))).drop("_ok")
         out = out.withColumn("content", F.when(F.col("compressed"), F.col("_sig")).otherwise(F.col("content"))).withColumn("kept", F.col("kept") | F.col("compressed"))
         out = out.withColumn("tokens", F.when(F.col("compressed"), F.col("_sigtok")).when(F.col("kept"), F.col("_tok")))
     reason = F.when(~F.col("kept"), F.lit("budget"))
-    return out.withColumn("reason", reason).drop("_tok", "_pin", "_pos", "_item", "_used", "_fit", "_sig", "_sigtok", "_saved")
+    return out.withColumn("reason", reason).drop("_tok", "_pin", "_pos", "_item", "_sig", "_sigtok")
 
 
 def summary_window(units: DataFrame, budget: float | None, summarize: Callable[[list[dict]], str] | None, keep: int = KEEP_VERBATIM, conv: str = "conv_id", turn: str = "turn", **how) -> DataFrame:
