@@ -134,6 +134,15 @@ def recall_stemmed(spark: SparkSession, d: str) -> DataFrame:
     return rank.top(scored.withColumn("score", F.round("score", 6)), 20, key="doc_id").select("doc_id", "score")
 
 
+#: The forms of the query's words and the stem they share.
+_STEMS = {"compar": "compar(e|es|ed|er|ers|ing)", "stack": "stack(s|ed|ing|er|ers)?", "trace": "trac(e|es|ed|ing)", "memori": "memor(y|ies)", "leak": "leak(s|ed|ing)?"}
+_STEMMED = "CASE " + " ".join(f"WHEN regexp_full_match(w, '{p}') THEN '{s}'" for s, p in _STEMS.items()) + " ELSE w END"
+RECALL_STEMMED = (
+    "WITH " + _ROWS + _bm25_sql(f"SELECT doc_id, list_transform({_split('text')}, lambda w: {_STEMMED}) AS tokens FROM rows WHERE kind IN ('fact', 'episode')", str(list(_STEMS)), "doc_id")
+    + " SELECT doc_id, round(score, 6) AS score FROM s ORDER BY score DESC, doc_id LIMIT 20"
+)
+
+
 def tokenize_ident(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "nodes").select("id", "symbol").distinct().select("id", F.array_join(T.split_ident(F.coalesce("symbol", F.lit(""))), " ").alias("parts"))
 
@@ -504,7 +513,7 @@ g AS (SELECT path, sec, min(line) AS l0, max(line) AS l1, bool_or(regexp_matches
 SELECT path, CASE WHEN sec > 0 THEN 'section' WHEN last > 0 THEN 'preamble' ELSE 'file' END AS node_type, CAST(l0 AS INTEGER) AS start_line, CAST(l1 AS INTEGER) AS end_line FROM x WHERE sec > 0 OR last = 0 OR ink"""
 
 QUERIES = {
-    recall_bm25: RECALL_BM25, recall_grouped_topn: RECALL_GROUPED, recall_fenced: RECALL_FENCED, recall_many: RECALL_MANY, recall_stemmed: None, tokenize_ident: TOKENIZE, keywords: KEYWORDS,
+    recall_bm25: RECALL_BM25, recall_grouped_topn: RECALL_GROUPED, recall_fenced: RECALL_FENCED, recall_many: RECALL_MANY, recall_stemmed: RECALL_STEMMED, tokenize_ident: TOKENIZE, keywords: KEYWORDS,
     recall_spread: RECALL_SPREAD, knn_topk: KNN, recall_fused: RECALL_FUSED, localize: LOCALIZE, vectorless: VECTORLESS, ablation_ranks: ABLATION,
     count_by_kind: COUNT_BY_KIND, count_shared: COUNT_SHARED, totals: TOTALS, recent_memory: RECENT_MEMORY, recent_documents: RECENT_DOCS, enumerate_page: ENUMERATE,
     use_counts: USE_COUNTS, review_candidates: REVIEW, promotion_candidates: PROMOTION, recent_activity: RECENT_ACTIVITY, activation: ACTIVATION,
