@@ -31,6 +31,7 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -161,7 +162,7 @@ def _find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Rules:
-    """Rules (items, subject, evidence) in arrays. Of a rule of several items the first one is looked up."""
+    """Rules (items, subject, evidence) in arrays. Of a rule of several items the first one, its rarest, is looked up."""
 
     subjects: list[str] = field(default_factory=list)
     rules: list[tuple[tuple[int, ...], int, float]] = field(default_factory=list)
@@ -178,7 +179,10 @@ class Rules:
         several = sorted((x, value(s, e)) for x, s, e in self.rules if len(x) > 1)
         self.lead, self.lead_first, self.lead_many = np.unique(np.array([x[0] for x, _ in several], dtype=np.int64), return_index=True, return_counts=True)
         self.several_value = np.array([v for _, v in several], dtype=np.int64)
-        self.rest = [np.array(x[1:], dtype=np.int64) for x, _ in several]
+        self.need = np.array([len(x) - 1 for x, _ in several], dtype=np.int64)
+        self.begin = np.cumsum(self.need) - self.need
+        rest = np.array([i for x, _ in several for i in x[1:]], dtype=np.int64)
+        self.others, self.rest = np.unique(rest, return_inverse=True)
         second = {i for x in one if (i := x & 0xFFFFFFFF)}
         self.paired = np.array(sorted({i for x in one if x & 0xFFFFFFFF for i in (x >> 32, x & 0xFFFFFFFF)} | second), dtype=np.int64)
 
@@ -200,16 +204,14 @@ class Rules:
             many = self.lead_many[at[hit]]
             where = np.repeat(t.sentence[hit], many)
             rule = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.lead_first[at[hit]], many)
-            need = np.array([len(x) for x in self.rest])
-            # words of a sentence as places in one sorted array of (sentence, word)
-            names, place = np.unique(whole, return_inverse=True)
-            held = np.unique(t.sentence * len(names) + place)
-            flat = np.concatenate([np.concatenate(self.rest), np.zeros(0, dtype=np.int64)])
-            begin = np.cumsum(need) - need
-            for k in range(need.max()):
-                more = need[rule] > k
-                want = _find(names, flat[np.where(more, begin[rule] + k, 0)])
-                ok = ~more | ((want >= 0) & (_find(held, where * len(names) + want) >= 0))
+            # (sentence, item) of the items that rules need besides their first, as one sorted array
+            place = _find(self.others, whole)
+            some = np.flatnonzero(place >= 0)
+            held = np.sort(t.sentence[some] * len(self.others) + place[some])
+            for k in range(self.need.max()):
+                more = self.need[rule] > k
+                want = where * len(self.others) + self.rest[np.where(more, self.begin[rule] + k, 0)]
+                ok = ~more | (_find(held, want) >= 0)
                 where, rule = where[ok], rule[ok]
             np.maximum.at(best, where, self.several_value[rule])
         return best % 64, best // 64
@@ -311,11 +313,12 @@ def _word_counts(mark, tongues: list[str], subjects: list[str]):
             ok = cls >= 0
             per = np.bincount(cls[ok], minlength=len(names))
             some = np.flatnonzero(per)
-            value, place = np.unique(t.words, return_inverse=True)
-            word = np.unique(t.sentence * max(len(value), 1) + place)  # a word counts once a sentence
+            mine = ok[t.sentence]
+            where, (place, value) = t.sentence[mine], pd.factorize(t.words[mine])
+            word = pd.unique(where * max(len(value), 1) + place)  # a word counts once a sentence
             s, v = word // max(len(value), 1), word % max(len(value), 1)
-            s, v = s[ok[s]], v[ok[s]]
-            key, n = np.unique(v * len(names) + cls[s], return_counts=True)
+            group, key = pd.factorize(v * len(names) + cls[s])
+            n = np.bincount(group, minlength=len(key))
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate([np.full(len(some), SENTENCES), value[key // len(names)] << 32]).astype(np.int64)),
                 pa.array(np.concatenate([some, key % len(names)]).astype(np.int32)), pa.array(np.concatenate([per[some], n]).astype(np.int64)),
@@ -339,11 +342,12 @@ def _conditional(mark, names: list[tuple[str, str]], growing: np.ndarray):
             at = _find(table, t.words << 32)
             ok = (at >= 0) & (cls[t.sentence] >= 0)
             where, item = t.pairs(ok)
-            both = np.unique(np.stack([item, where]), axis=1)
-            pair, n = np.unique(np.stack([both[0], cls[both[1]]]), axis=1, return_counts=True)
-            rows = [(int(i % SHARDS), int(c), (-1, int(i)), int(m)) for i, c, m in zip(pair[0], pair[1], n)]
-            rank = order[at[ok]]
-            seen = np.unique(t.sentence[ok] * max(len(table), 1) + rank)
+            place, value = pd.factorize(item)
+            once = pd.unique(where * max(len(value), 1) + place)
+            group, key = pd.factorize(once % max(len(value), 1) * len(names) + cls[once // max(len(value), 1)])
+            pair = zip(value[key // len(names)].tolist(), (key % len(names)).tolist(), np.bincount(group, minlength=len(key)).tolist())
+            rows = [(i % SHARDS, c, (-1, i), m) for i, c, m in pair]
+            seen = np.sort(pd.unique(t.sentence[ok] * max(len(table), 1) + order[at[ok]]))
             s, r = seen // max(len(table), 1), (seen % max(len(table), 1)).tolist()
             cut = np.flatnonzero(np.diff(s, prepend=-1))
             ends = np.append(cut[1:], len(s))
@@ -404,7 +408,7 @@ def patterns(base: Base, at: tuple[int, ...], n: float, support: int, classes: C
 
 
 def _grow(growing: np.ndarray, alone: np.ndarray, classes: Classes, support: int, least: int):
-    """The rules of a shard: (items, subject, e). alone has the evidence of the growing words by themselves."""
+    """The rules of a shard: (items, the rarest first, subject, e). alone has the evidence of the growing words by themselves."""
 
     def rules(table: pa.Table):
         shard = table["shard"][0].as_py()
@@ -434,7 +438,7 @@ def _grow(growing: np.ndarray, alone: np.ndarray, classes: Classes, support: int
                 s = int(e.argmax())
                 # the parts that lie on the way here; _mine() looks at the others
                 if e[s] >= SURE and e[s] >= GAIN + max(max(alone[j][s] for j in x), *(best[x[:k]][s] for k in range(1, len(x)))):
-                    yield tuple(sorted(int(growing[j]) for j in x)), s, float(e[s])
+                    yield tuple(int(growing[j]) for j in sorted(x, reverse=True)), s, float(e[s])
 
     def run(table: pa.Table) -> pa.Table:
         cols = list(zip(*rules(table))) or [(), (), ()]
