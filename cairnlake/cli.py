@@ -8,6 +8,7 @@ import sys
 from . import session
 from .api import Engine
 from .functions import text as T
+from .index import SourceIndex
 from .operators.fences import GLOBAL
 
 
@@ -28,9 +29,20 @@ def main(argv: list[str] | None = None) -> int:
     for verb in ("get", "forget"):
         sub.add_parser(verb).add_argument("id")
     sub.add_parser("ingest").add_argument("file")
-    sub.add_parser("recent")
-    sub.add_parser("count")
+    for verb in ("recent", "count", "promotions"):
+        sub.add_parser(verb)
+    i = sub.add_parser("index", help="bring the index of a source folder up to date")
+    i.add_argument("source")
+    i.add_argument("pathspecs", nargs="*")
+    i.add_argument("--force", action="store_true")
+    m = sub.add_parser("impact", help="what a change of symbols would touch, by the index of a source folder")
+    m.add_argument("source")
+    m.add_argument("symbols", nargs="+")
+    sub.add_parser("help")
     a = p.parse_args(argv)
+    if a.verb == "help":
+        p.print_help()
+        return 0
     spark = session.build()
     e = Engine(spark, a.root)
     scope = GLOBAL if a.scope == "-" else a.scope
@@ -54,8 +66,18 @@ def main(argv: list[str] | None = None) -> int:
 
         for r in e.recent(scope).withColumn("age", T.relative_age(F.lit(e.clock()) - F.col("at"))).collect():
             print(r["id"], r["kind"], r["age"], sep="\t")
+    elif a.verb == "promotions":
+        for r in e.promotions(scope).collect():
+            print(r["id"], r["hits"], sep="\t")
+    elif a.verb == "index":
+        for status, n in SourceIndex(spark, f"{a.root}/index", a.source).build(a.pathspecs or None, a.force).items():
+            print(status, n, sep="\t")
+    elif a.verb == "impact":
+        for r in SourceIndex(spark, f"{a.root}/index", a.source).impact(*a.symbols).orderBy("symbol").collect():
+            print(r["symbol"], r["risk"], r["ref_count"], r["complexity"], "; ".join(r["hedges"]), sep="\t")
     else:
         print(e.count(scope))
+    session.release(spark)
     return 0
 
 

@@ -40,7 +40,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/cairnlake/{name}-{uuid.uuid4().hex}"
+    """A folder of its own below the shared one; release() deletes it."""
+    path = f"{shared_dir(spark)}/cairnlake/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+#: Folders handed out by this process, by application.
+_made: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what fresh_dir() has handed out; call it when results are written, as DataFrames read these tables.
+    Returns the number of folders."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

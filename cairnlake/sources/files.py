@@ -151,25 +151,48 @@ def lines_to_paragraphs(items: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
 def docx_markdown(data: bytes) -> str:
-    """Headings and paragraphs of a docx file."""
+    """Headings, paragraphs, list items, links and tables of a docx file, in their order."""
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             root = ElementTree.fromstring(z.read("word/document.xml"))
+            rels = ElementTree.fromstring(z.read("word/_rels/document.xml.rels")) if "word/_rels/document.xml.rels" in z.namelist() else ()
     except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
         raise UploadRejected("not a readable docx file") from e
-    out = []
-    for p in root.iter(f"{_W}p"):
-        text = "".join(t.text or "" for t in p.iter(f"{_W}t")).strip()
-        style = p.find(f"{_W}pPr/{_W}pStyle")
-        level = re.match(r"Heading(\d)", style.get(f"{_W}val", "") if style is not None else "")
-        if text:
-            out.append("#" * int(level[1]) + " " + text if level else text)
+    targets = {r.get("Id"): r.get("Target") for r in rels if r.get("TargetMode") == "External"}
+    body = root.find(f"{_W}body")
+    out: list[str] = []
+    for node in body if body is not None else root:
+        if node.tag == f"{_W}p" and (text := _docx_text(node, targets)):
+            style = node.find(f"{_W}pPr/{_W}pStyle")
+            level = re.match(r"Heading(\d)", style.get(f"{_W}val", "") if style is not None else "")
+            item = node.find(f"{_W}pPr/{_W}numPr") is not None
+            line = "#" * int(level[1]) + " " + text if level else f"- {text}" if item else text
+            if item and out and out[-1].startswith("- "):
+                out[-1] += f"\n{line}"  # one list is one paragraph
+            else:
+                out.append(line)
+        elif node.tag == f"{_W}tbl":
+            rows = [[" ".join(filter(None, (_docx_text(p, targets) for p in cell.iter(f"{_W}p")))) for cell in row.iter(f"{_W}tc")] for row in node.iter(f"{_W}tr")]
+            lines = ["| " + " | ".join(r) + " |" for r in rows]
+            if lines:
+                out.append("\n".join([lines[0], "|" + " --- |" * len(rows[0]), *lines[1:]]))
     return "\n\n".join(out)
 
 
+def _docx_text(p: ElementTree.Element, targets: dict) -> str:
+    """The text of a paragraph, external links as [text](target)."""
+    parts = []
+    for node in p:
+        text = "".join(t.text or "" for t in node.iter(f"{_W}t"))
+        url = targets.get(node.get(_R)) if node.tag == f"{_W}hyperlink" else None
+        parts.append(f"[{text}]({url})" if url and text else text)
+    return "".join(parts).strip()
+
+
 def ingest(uploads: DataFrame, budget: int = SEGMENT, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(name, id, kind, format, text, bytes, error): uploads (name, content) as rows to be written.
 

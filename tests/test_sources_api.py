@@ -154,6 +154,44 @@ def test_engine(spark):
         api.Engine(spark, "x", episode_days=0)
 
 
+def test_docx_lists_tables_and_links():
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    say = lambda x: f"<w:r><w:t>{x}</w:t></w:r>"
+    item = lambda x: f'<w:p><w:pPr><w:numPr/></w:pPr>{say(x)}</w:p>'
+    cell = lambda x: f"<w:tc><w:p>{say(x)}</w:p></w:tc>"
+    body = f'<w:p>{say("See ")}<w:hyperlink r:id="r1">{say("here")}</w:hyperlink></w:p>{item("one")}{item("two")}<w:tbl><w:tr>{cell("a")}{cell("b")}</w:tr><w:tr>{cell("1")}{cell("2")}</w:tr></w:tbl><w:p/>'
+    rels = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="http://x.test/" TargetMode="External"/></Relationships>'
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/_rels/document.xml.rels", rels)
+    assert files.docx_markdown(buf.getvalue()) == "See [here](http://x.test/)\n\n- one\n- two\n\n| a | b |\n| --- | --- |\n| 1 | 2 |"
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from cairnlake import cli
+
+    monkeypatch.setattr(session, "build", lambda *a, **k: spark)
+    monkeypatch.setattr(session, "release", lambda s: 0)
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.py").write_text("def used(x):\n    return x\n\n\ndef go():\n    return used(1)\n")
+    run = lambda *a: (cli.main(["--root", str(tmp_path / "root"), *a]), capsys.readouterr().out)
+    assert run("index", str(tmp_path / "src")) == (0, "upsert\t1\ntouch\t0\nunchanged\t0\ndeleted\t0\n")
+    code, out = run("impact", str(tmp_path / "src"), "used")
+    assert code == 0 and out.startswith("used\tlow\t1\t1\t")
+    assert run("promotions") == (0, "") and "usage" in run("help")[1]
+
+
+def test_release_deletes_what_was_handed_out(spark):
+    kept = dict(session._made)
+    session._made.clear()
+    path = session.fresh_dir(spark, "gone").removeprefix("file://")
+    session.materialize(spark.range(3).toDF("n"), "gone")
+    os.makedirs(path, exist_ok=True)
+    assert session.release(spark) == 2 and not os.path.exists(path) and session.release(spark) == 0
+    session._made.update(kept)
+
+
 def test_tenants_share_nothing_but_the_shared_tier(spark):
     root, ticks = session.fresh_dir(spark, "e"), iter(range(1_800_000_000_000, 1_900_000_000_000, 1000))
     made = lambda **k: api.Engine(spark, root, clock=lambda: next(ticks), **k)
