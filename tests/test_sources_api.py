@@ -154,6 +154,40 @@ def test_engine(spark):
         api.Engine(spark, "x", episode_days=0)
 
 
+def test_a_build_that_dies_between_two_commits_repeats_no_edit(spark, tmp_path):
+    from cairnlake.index import SourceIndex
+    from cairnlake.operators.incremental import VersionedTable
+
+    src = tmp_path / "src"
+    src.mkdir()
+    for p in ("a.py", "b.py"):
+        (src / p).write_text(f"def {p[0]}(x):\n    return x\n")
+    x = SourceIndex(spark, session.fresh_dir(spark, "index"), str(src))
+    x.build()
+    commits, publish = [], VersionedTable._publish
+    for at in range(1, 6):  # edits, nodes, calls, imports, files: the build dies after each of them
+        (src / "a.py").write_text(f"def a(x):\n    return x + {at}\n")
+
+        def dies(self, m, at=at):
+            commits.append(self.root)
+            v = publish(self, m)
+            if len(commits) == at:
+                raise RuntimeError("lost")
+            return v
+
+        commits.clear()
+        VersionedTable._publish = dies
+        try:
+            with pytest.raises(RuntimeError):
+                x.build()
+        finally:
+            VersionedTable._publish = publish
+        x.build()
+        assert [(r["path"], r["symbol"]) for r in x.edit_log().collect()] == [("a.py", "a")] * at
+        assert {r["body"] for r in x.nodes.read().filter("path = 'a.py'").collect()} == {f"def a(x):\n    return x + {at}"}
+    assert x.recent_activity().first()["symbol"] == "a" and [r["path"] for r in x.files_with("def b").collect()] == ["b.py"]
+
+
 def test_docx_lists_tables_and_links():
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
     say = lambda x: f"<w:r><w:t>{x}</w:t></w:r>"
