@@ -2,11 +2,12 @@
 
 Plan
 1. A bounded sample of each vector length fits rotations (principal axes, then iterative quantisation); the signs of
-   the rotated vector are its code. The code is cut into substrings of WIDTH bits, and each is indexed (a table).
-2. The number of tables is measured, not derived from the number of vectors: as many as it takes for the share RECALL
-   of pairs at exactly min_cosine to meet in one of them (`fit_rotation`). Of two codes that differ in fewer than
+   the rotated vector are its code. The code is cut into substrings of `width` bits, and each is indexed (a table).
+   Width follows from the number of vectors (`width_for`), so that a substring has few candidates.
+2. The number of tables is measured: as many as it takes at that width for the share RECALL of pairs at exactly
+   min_cosine to meet in one of them (`fit_rotation`), so recall doesn't depend on the number of vectors. Of two codes that differ in fewer than
    2 x tables bits, one substring differs in one bit at most (pigeonhole), so these meet for certain.
-3. The first KEY bits of a substring are the shuffle key; index and lookups with flips of the other LOW bits are arrays
+3. The first KEY bits of a substring are the shuffle key; index and lookups with flips of the other, low bits are arrays
    of one task, so no flip is shuffled. A row of the shuffle packs all codes of a batch that have one key.
 4. Pairs within the radius on CHECK bits whose distance is near the k smallest of one of the two are ranked by the
    exact cosine of the floats.
@@ -33,9 +34,10 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 WORDS = 4
-#: Bits of a substring, of its shuffle key and of the rest; bits on which candidates are checked.
-WIDTH, KEY, CHECK = 20, 6, 128
-LOW = WIDTH - KEY
+#: Bits of a substring's shuffle key; bits on which candidates are checked.
+KEY, CHECK = 6, 128
+#: Widths of substrings; at most CROWD codes to a value are meant, if values were even.
+WIDTHS, CROWD = (16, 20, 24, 28), 1024
 #: Share of the pairs at exactly min_cosine that must meet in a table.
 RECALL = 0.96
 MAX_TABLES = 128
@@ -63,48 +65,65 @@ def _orthogonal(d: int, seed: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Rotation:
-    """How vectors of one length are coded: centre, planes (d, tables x WIDTH), and the radius on the check bits."""
+    """How vectors of one length are coded: centre, planes (d, tables x width), and the radius on the check bits."""
 
     centre: np.ndarray
     planes: np.ndarray
+    width: int
     tables: int
     radius: int
 
     def bits(self, x: np.ndarray) -> np.ndarray:
-        """(n, tables x WIDTH) booleans of unit vectors."""
+        """(n, tables x width) booleans of unit vectors."""
         return (x.astype(np.float32) - self.centre) @ self.planes > 0
 
 
-def _substrings(bits: np.ndarray) -> np.ndarray:
-    """(n, tables) numbers of WIDTH bits."""
-    return bits.reshape(len(bits), -1, WIDTH) @ (1 << np.arange(WIDTH, dtype=np.int64))
+@dataclass(frozen=True)
+class Plan:
+    """What is looked for: least cosine, flips and width of the lookups, least bits of a code."""
+
+    min_cosine: float
+    flips: int = 1
+    width: int = WIDTHS[0]
+    bits: int = CHECK
+
+
+def width_for(vectors: int) -> int:
+    return next((w for w in WIDTHS if vectors <= CROWD << w), WIDTHS[-1])
+
+
+def _substrings(bits: np.ndarray, width: int) -> np.ndarray:
+    """(n, tables) numbers of `width` bits."""
+    return bits[:, : bits.shape[1] // width * width].reshape(len(bits), -1, width) @ (1 << np.arange(width, dtype=np.int64))
 
 
 def _check_words(bits: np.ndarray) -> np.ndarray:
     return np.packbits(bits[:, :CHECK], axis=1, bitorder="little").view(np.uint64)
 
 
-def _meet(diff: np.ndarray, flips: int) -> np.ndarray:
+def _meet(diff: np.ndarray, flips: int, width: int) -> np.ndarray:
     """Whether two substrings with this difference meet in a table: one key, and so many flips of the rest."""
-    return ((diff >> LOW) == 0) & (np.bitwise_count(diff) <= flips)
+    return ((diff >> (width - KEY)) == 0) & (np.bitwise_count(diff) <= flips)
 
 
-def fit_rotation(x: np.ndarray | None, d: int, min_cosine: float, flips: int = 1, recall: float = RECALL, rounds: int = 15) -> Rotation:
+def fit_rotation(x: np.ndarray | None, d: int, plan: Plan, recall: float = RECALL, rounds: int = 15) -> Rotation:
     """Planes by iterative quantisation from several starts, as many as `recall` takes.
 
-    The recall is measured: each of up to 2,000 rows of the sample gets a neighbour at exactly min_cosine in a random
-    direction, and tables are added until that share of these pairs meets in one of them (or there are MAX_TABLES).
-    The radius is the mean of their differing check bits plus three standard deviations.
+    The recall is measured: each of a fifth of the sample (up to 2,000 rows, which fit nothing) gets a neighbour at exactly
+    min_cosine in a random direction, and tables are added until that share of these pairs meets in one of them (or there are MAX_TABLES).
+    The radius is the mean of their differing check bits plus 2.5 standard deviations.
     """
-    rng = np.random.default_rng(d)
+    rng, width, min_cosine = np.random.default_rng(d), plan.width, plan.min_cosine
     if x is None or len(x) < 4 * d:
         centre, axes, v = np.zeros(d), np.eye(d), None
         x = rng.standard_normal((2000, d))
         x /= np.linalg.norm(x, axis=1, keepdims=True)
     else:
-        centre = x.mean(0)
-        _, axes = np.linalg.eigh(np.cov((x - centre).T).reshape(d, d))
-        v = (x - centre) @ axes
+        held = min(2000, len(x) // 5)
+        x, v = x[:held], x[held:]
+        centre = v.mean(0)
+        _, axes = np.linalg.eigh(np.cov((v - centre).T).reshape(d, d))
+        v = (v - centre) @ axes
     some = x[:2000]
     u = rng.standard_normal(some.shape)
     u -= (u * some).sum(1, keepdims=True) * some
@@ -112,34 +131,34 @@ def fit_rotation(x: np.ndarray | None, d: int, min_cosine: float, flips: int = 1
     near = min_cosine * some + math.sqrt(max(0.0, 1 - min_cosine**2)) * np.divide(u, length, out=np.zeros_like(u), where=length > 1e-9)
     near /= np.linalg.norm(near, axis=1, keepdims=True)
     planes, k = np.zeros((d, 0)), 0
-    for tables in (*range(8, MAX_TABLES, 8), MAX_TABLES):
-        while planes.shape[1] < tables * WIDTH:
+    for tables in (*range(16, MAX_TABLES, 8), MAX_TABLES):
+        while planes.shape[1] < tables * width:
             r = _orthogonal(d, 7919 * k + d)
             for _ in range(rounds if v is not None else 0):
                 w, _, z = np.linalg.svd(np.sign(v @ r).T @ v)
                 r = (w @ z).T
             planes, k = np.concatenate([planes, axes @ r], axis=1), k + 1
-        mine = planes[:, : tables * WIDTH]
+        mine = planes[:, : tables * width]
         # planes of one rotation hang together; spread over the tables they fail independently
         mine = mine[:, np.random.default_rng(tables).permutation(mine.shape[1])].astype(np.float32)
-        out = Rotation(centre.astype(np.float32), mine, tables, 0)
+        out = Rotation(centre.astype(np.float32), mine, width, tables, 0)
         a, b = out.bits(some), out.bits(near)
-        met = np.cumsum(_meet(_substrings(a) ^ _substrings(b), flips), axis=1) > 0
+        met = np.cumsum(_meet(_substrings(a, width) ^ _substrings(b, width), plan.flips, width), axis=1) > 0
         enough = np.flatnonzero(met.mean(0) >= recall)
         if len(enough) or tables == MAX_TABLES:
-            n = max(int(enough[0]) + 1 if len(enough) else MAX_TABLES, -(-CHECK // WIDTH))
+            n = max(int(enough[0]) + 1 if len(enough) else MAX_TABLES, -(-plan.bits // width))
             far = (a != b)[:, :CHECK].sum(1)
-            return Rotation(out.centre, mine[:, : n * WIDTH], n, math.ceil(far.mean() + 3 * far.std()))
+            return Rotation(out.centre, mine[:, : n * width], width, n, math.ceil(far.mean() + 2.5 * far.std()))
     raise AssertionError
 
 
 @lru_cache(maxsize=256)
-def _unlearned(d: int, min_cosine: float, flips: int) -> Rotation:
+def _unlearned(d: int, plan: Plan) -> Rotation:
     """The rotation of a length that the sample doesn't hold; the same on every machine."""
-    return fit_rotation(None, d, min_cosine, flips)
+    return fit_rotation(None, d, plan)
 
 
-def fit(usable: DataFrame, rows: int, sample: int, min_cosine: float, flips: int) -> dict[int, Rotation]:
+def fit(usable: DataFrame, rows: int, sample: int, plan: Plan) -> dict[int, Rotation]:
     """Rotations by length from about `sample` rows picked by hash (2 x sample at most reach the driver)."""
     share = min(1.0, sample / max(rows, 1))
     picked = usable.filter(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("dim", "vec").limit(2 * sample).toArrow()
@@ -148,18 +167,18 @@ def fit(usable: DataFrame, rows: int, sample: int, min_cosine: float, flips: int
     out = {}
     for d in lengths[np.argsort(-counts)][:MAX_FITTED_DIMS]:
         x = np.asarray(picked.filter(pa.array(dims == d))["vec"].combine_chunks().flatten(), dtype=np.float64).reshape(-1, d)
-        out[int(d)] = fit_rotation(x / np.linalg.norm(x, axis=1, keepdims=True), int(d), min_cosine, flips)
+        out[int(d)] = fit_rotation(x / np.linalg.norm(x, axis=1, keepdims=True), int(d), plan)
     return out
 
 
-def _encode(rotations: dict[int, Rotation], min_cosine: float, flips: int):
+def _encode(rotations: dict[int, Rotation], plan: Plan):
     def run(batches):
         for b in batches:
             dims, vec = b.column("dim").to_numpy(), b.column("vec")
             codes: list[bytes] = [b""] * b.num_rows
             for d in np.unique(dims):
                 rows = np.flatnonzero(dims == d)
-                rotation = rotations.get(int(d)) or _unlearned(int(d), min_cosine, flips)
+                rotation = rotations.get(int(d)) or _unlearned(int(d), plan)
                 x = np.asarray(vec.take(pa.array(rows)).flatten(), dtype=np.float32).reshape(-1, d)
                 x = x / np.abs(x).max(1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -182,42 +201,46 @@ def _unpacked(b: pa.RecordBatch):
 # --- retrieval by tables
 
 
-def _keys(d: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, rest) of shape (n, tables): the group of each substring and its LOW bits."""
-    sub = _substrings(bits[:, : bits.shape[1] // WIDTH * WIDTH])
+def _keys(d: int, bits: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, rest) of shape (n, tables): the group of each substring and its low bits."""
+    sub, low = _substrings(bits, width), width - KEY
     table = np.arange(sub.shape[1], dtype=np.int64)
-    return (((d * MAX_TABLES + table) << KEY) + (sub >> LOW)) << LOW, sub & ((1 << LOW) - 1)
+    return (((d * MAX_TABLES + table) << KEY) + (sub >> low)) << low, sub & ((1 << low) - 1)
 
 
-def _count_keys(batches):
-    for b in batches:
-        for d, _, bits in _unpacked(b):
-            key, n = np.unique(_keys(d, bits)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+def _count_keys(width: int):
+    def run(batches):
+        for b in batches:
+            for d, _, bits in _unpacked(b):
+                key, n = np.unique(_keys(d, bits, width)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+
+    return run
 
 
-def _pack(crowded: dict[int, int]):
-    """Rows (key, n, data): the codes of a batch with one key; data has their h, check bits and LOW bits.
+def _pack(crowded: dict[int, int], width: int):
+    """Rows (key, n, data): the codes of a batch with one key; data has their h, check bits and low bits.
 
-    The key of a crowded group also has so many of the LOW bits, so that groups stay small; of these no flips are
+    The key of a crowded group also has so many of the low bits, so that groups stay small; of these no flips are
     looked up.
     """
+    low_bits = width - KEY
 
     def run(batches):
         for b in batches:
             hs = b.column("h").to_numpy()
             for d, rows, bits in _unpacked(b):
-                keys, rest = _keys(d, bits)
+                keys, rest = _keys(d, bits, width)
                 if crowded:
                     more = np.zeros_like(keys)
                     for key in np.unique(keys):
                         if e := crowded.get(int(key)):
-                            more[keys == key] = ((1 << e) - 1) << (LOW - e)
+                            more[keys == key] = ((1 << e) - 1) << (low_bits - e)
                     keys = keys + (rest & more)
                 check, h = _check_words(bits), hs[rows]
                 order = np.argsort(keys, axis=None, kind="stable")
                 flat, owner = keys.ravel()[order], order // keys.shape[1]
-                low = rest.ravel()[order].astype(np.uint16)
+                low = rest.ravel()[order].astype(np.uint32 if low_bits > 16 else np.uint16)
                 cut = np.flatnonzero(np.diff(flat, prepend=-1))
                 data = [
                     b"".join((h[o].tobytes(), check[o].tobytes(), low[i:j].tobytes()))
@@ -264,20 +287,21 @@ def _closest(i: np.ndarray, j: np.ndarray, far: np.ndarray, k: int, slack: int)
     return far <= np.maximum(limit[i], limit[j]) + slack
 
 
-def _search(radii: dict[int, int], min_cosine: float, flips: int, k: int, cap: int):
+def _search(radii: dict[int, int], plan: Plan, k: int, cap: int):
     """Pairs (a, b) of the groups of a partition that is sorted by key."""
-    plain, fine = _masks(LOW, flips), _masks(16, flips)
+    low_bits = plan.width - KEY
+    plain, fine, low_type = _masks(low_bits, plan.flips), _masks(16, plan.flips), np.uint32 if low_bits > 16 else np.uint16
 
     def pairs(d: int, groups: list):
-        radius = radii[d] if d in radii else _unlearned(d, min_cosine, flips).radius
+        radius = radii[d] if d in radii else _unlearned(d, plan).radius
         h, check, low = (np.concatenate(x) for x in zip(*(g[1:] for g in groups)))
         group = np.repeat(np.arange(len(groups)), [len(g[1]) for g in groups])
-        sub = (group << LOW) + low
+        sub = (group << low_bits) + low
         order = np.argsort(sub, kind="stable")
         sub, h, check, group = sub[order], h[order], check[order], group[order]
         value, count = np.unique(sub, return_counts=True)
         # many equal substrings in a group: it is searched anew by parts of the check bits
-        dense = np.unique(value[count > cap] >> LOW)
+        dense = np.unique(value[count > cap] >> low_bits)
         loose = ~np.isin(group, dense)
         searches = [(sub[loose], plain, np.flatnonzero(loose))]
         for g in dense:
@@ -287,7 +311,7 @@ def _search(radii: dict[int, int], min_cosine: float, flips: int, k: int, cap: i
                 o = np.argsort(v, kind="stable")
                 searches.append((v[o], fine, mine[o]))
         c0, c1 = check[:, 0], check[:, 1]
-        # three standard deviations of a distance, as far as the radius has them
+        # two to three standard deviations of a distance, as far as the radius has them
         slack = max(1, radius // 3)
         held: list[np.ndarray] = []
 
@@ -316,7 +340,7 @@ def _search(radii: dict[int, int], min_cosine: float, flips: int, k: int, cap: i
         for b in batches:
             for key, n, data in zip(b.column("key").to_numpy(), b.column("n").to_numpy(), b.column("data")):
                 if key != last:
-                    own = int(key) >> (LOW + KEY + 7)
+                    own = int(key) >> (low_bits + KEY + 7)
                     if held and (rows > 1 << 17 or own != d):
                         yield from pairs(d, [(g, *(np.concatenate(x) for x in zip(*parts))) for g, parts in held])
                         held, rows = [], 0
@@ -324,7 +348,7 @@ def _search(radii: dict[int, int], min_cosine: float, flips: int, k: int, cap: i
                     last, d = key, own
                 raw = data.as_buffer()
                 held[-1][1].append((
-                    np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.uint64, 2 * n, 8 * n).reshape(n, 2), np.frombuffer(raw, np.uint16, n, 24 * n).astype(np.int64),
+                    np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.uint64, 2 * n, 8 * n).reshape(n, 2), np.frombuffer(raw, low_type, n, 24 * n).astype(np.int64),
                 ))
                 rows += n
         if held:
@@ -333,7 +357,7 @@ def _search(radii: dict[int, int], min_cosine: float, flips: int, k: int, cap: i
     return run
 
 
-def table_pairs(codes: DataFrame, rotations: dict[int, Rotation], classes: int, min_cosine: float, flips: int = 1, k: int = 10, cap: int = 4096) -> DataFrame:
+def table_pairs(codes: DataFrame, rotations: dict[int, Rotation], classes: int, plan: Plan, k: int = 10, cap: int = 4096) -> DataFrame:
     """Distinct pairs (a, b) of codes (h, dim, code) that meet in a table and lie within the radius.
 
     Groups whose number of codes is above GROUP_ROWS are split by further bits, and groups in which more than `cap`
@@ -341,12 +365,12 @@ def table_pairs(codes: DataFrame, rotations: dict[int, Rotation], classes: int,
     none of their work is a square of the group. Of a code's pairs in a task those remain that are near its k
     nearest by distance, or its partner's.
     """
-    counts = codes.mapInArrow(_count_keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = codes.mapInArrow(_count_keys(plan.width), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     # at most rows x tables / GROUP_ROWS of them
-    crowded = {r["key"]: min(LOW - 1, math.ceil(math.log2(r["n"] / GROUP_ROWS))) for r in counts.filter(F.col("n") > GROUP_ROWS).toArrow().to_pylist()}
-    packed = codes.mapInArrow(_pack(crowded), "key long, n int, data binary")
+    crowded = {r["key"]: min(plan.width - KEY - 1, math.ceil(math.log2(r["n"] / GROUP_ROWS))) for r in counts.filter(F.col("n") > GROUP_ROWS).toArrow().to_pylist()}
+    packed = codes.mapInArrow(_pack(crowded, plan.width), "key long, n int, data binary")
     parts = max(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), classes * 20 // GROUP_ROWS + 1)
-    met = packed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_search({d: r.radius for d, r in rotations.items()}, min_cosine, flips, k, cap), "a long, b long")
+    met = packed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_search({d: r.radius for d, r in rotations.items()}, plan, k, cap), "a long, b long")
     return met.distinct()
 
 
@@ -490,16 +514,18 @@ def similar_vectors(df: DataFrame, k: int = 10, min_cosine: float = 0.88, sample
     indexed. `probes` is the number of flips in which a substring is looked up.
     """
     usable = usable_vectors(df.select("path", "dim", "vec"))
-    rotations = fit(usable, df.count(), sample, min_cosine, probes)
+    rows = df.count()
+    plan = Plan(min_cosine, probes, width_for(rows), WORDS * 64 if certain else CHECK)
+    rotations = fit(usable, rows, sample, plan)
     members = materialize(usable.groupBy("path").agg(F.min("h").alias("h")), "members")
-    coded = usable.select("h", "dim", "vec").mapInArrow(_encode(rotations, min_cosine, probes), "h long, dim int, code binary")
+    coded = usable.select("h", "dim", "vec").mapInArrow(_encode(rotations, plan), "h long, dim int, code binary")
     codes = materialize(coded.dropDuplicates(["h"]).join(members.select("h").distinct(), "h", "left_semi"), "codes")
     classes = codes.count()
     if certain:
         words = codes.mapInArrow(_words, "h long, dim int, " + ", ".join(f"c{i} long" for i in range(WORDS)))
         pairs = candidate_pairs(words, classes, min_cosine, probes, bucket_cap)
     else:
-        pairs = table_pairs(codes, rotations, classes, min_cosine, probes, k, bucket_cap)
+        pairs = table_pairs(codes, rotations, classes, plan, k, bucket_cap)
 
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     floats = usable.groupBy("h").agg(F.first("vec").alias("vec")).withColumn("norm", norm)

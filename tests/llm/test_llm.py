@@ -1,3 +1,4 @@
+import math
 import os
 import random
 from collections import Counter
@@ -74,6 +75,41 @@ def test_codes_in_the_radius_meet_whatever_the_number_of_rows(spark, bits):
     assert {tuple(r) for r in neighbours.candidate_pairs(df, 1 << 20, 0.88, bits=bits).collect()} == want
 
 
+def test_certain_lookups_equal_brute_force(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f"g{g}/{i}", 16, [float(np.float32(x)) for x in c + 0.2 * rng.standard_normal(16)], "x", 1) for g in range(20) for c in [rng.standard_normal(16)] for i in range(4)]
+    assert {tuple(r) for r in neighbours.similar_pairs(spark.createDataFrame(rows, VEC), 3, 0.9, certain=True).collect()} == brute(rows, 3, 0.9)
+
+
+@pytest.mark.parametrize("width", neighbours.WIDTHS)
+def test_recall_at_the_least_cosine_whatever_the_width(width):
+    """Pairs at exactly 0.88, of vectors that fit nothing, meet in a table and lie within the radius."""
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centres = unit(rng.standard_normal((30, 64)))
+    x = unit(np.repeat(centres, rng.integers(20, 400, 30), axis=0) * 1.2 + 0.12 * rng.standard_normal((1, 64)))
+    x = unit(x + 0.1 * rng.standard_normal(x.shape))
+    rng.shuffle(x)
+    test, r = x[-1000:], neighbours.fit_rotation(x[:-1000], 64, neighbours.Plan(0.88, 1, width))
+    u = rng.standard_normal(test.shape)
+    u = unit(u - (u * test).sum(1, keepdims=True) * test)
+    a, b = r.bits(test), r.bits(unit(0.88 * test + math.sqrt(1 - 0.88**2) * u))
+    met = neighbours._meet(neighbours._substrings(a, width) ^ neighbours._substrings(b, width), 1, width).any(1)
+    assert (met & ((a != b)[:, : neighbours.CHECK].sum(1) <= r.radius)).mean() >= 0.92
+
+
+def test_crowded_groups_keep_their_nearest(spark, monkeypatch):
+    """One cluster of a third of the rows, groups above the limit: its members still find near ones."""
+    rng = np.random.default_rng(4)
+    c = rng.standard_normal(32)
+    v = np.concatenate([c + 0.15 * rng.standard_normal((300, 32)), rng.standard_normal((600, 32))])
+    rows = [(f"p{i:03d}", 32, [float(np.float32(x)) for x in row], "x", 1) for i, row in enumerate(v)]
+    want = brute(rows, 5, 0.88)
+    monkeypatch.setattr(neighbours, "GROUP_ROWS", 64)
+    got = {tuple(r) for r in neighbours.similar_pairs(spark.createDataFrame(rows, VEC), 5, 0.88, bucket_cap=16).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def test_many_copies_and_no_rows(spark):
     rows = [(f"c{i:03d}", 2, [1.0, 2.0], "", 0) for i in range(60)]
     got = neighbours.similar_vectors(spark.createDataFrame(rows, VEC), 3)
