@@ -504,6 +504,27 @@ def candidate_pairs(codes: DataFrame, classes: int, min_cosine: float, probes: i
     return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_compare(bits, flips, radius), "a long, b long")
 
 
+def _rescored(pairs: DataFrame, usable: DataFrame, min_cosine: float) -> DataFrame:
+    """(a, b, cosine) of the pairs (a, b) with at least min_cosine.
+
+    Of each pair one vector has to travel. First it goes as one byte an element, with a bound of the error that this
+    makes (half a step an element), which leaves out most pairs that are too far apart and none that are not; then whole.
+    """
+    sum_ = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+    dot = lambda a, b: sum_(F.zip_with(a, b, lambda x, y: x.cast("double") * y))
+    step = F.array_max(F.transform("vec", F.abs)).cast("double") / 127
+    floats = usable.groupBy("h").agg(F.first("vec").alias("vec")).withColumn("norm", F.sqrt(dot("vec", "vec")))
+    left = floats.select(F.col("h").alias("a"), "vec", "norm")
+    bytes_ = floats.withColumn("step", step).select(
+        F.col("h").alias("b"), F.transform("vec", lambda x: F.round(x / F.col("step")).cast("byte")).alias("code"), (F.col("step") / F.col("norm")).alias("unit"),
+        (F.col("step") * F.sqrt(F.size("vec")) / 2 / F.col("norm") + 1e-6).alias("off"),
+    )
+    near = pairs.join(bytes_, "b").join(left, "a").filter(dot("vec", "code") * F.col("unit") / F.col("norm") >= min_cosine - F.col("off")).select("a", "b")
+    right = floats.select(F.col("h").alias("b"), F.col("vec").alias("vec_b"), F.col("norm").alias("norm_b"))
+    both = near.join(right, "b").join(left, "a")
+    return both.select("a", "b", (dot("vec", "vec_b") / (F.col("norm") * F.col("norm_b"))).alias("cosine")).filter(F.col("cosine") >= min_cosine)
+
+
 def similar_vectors(df: DataFrame, k: int = 10, min_cosine: float = 0.88, sample: int = 8192, probes: int = 1, bucket_cap: int = 4096, certain: bool = False) -> DataFrame:
     """(path, neighbour, cosine, rank): of each usable path its k most similar others of the same length.
 
@@ -527,12 +548,7 @@ def similar_vectors(df: DataFrame, k: int = 10, min_cosine: float = 0.88, sample
     else:
         pairs = table_pairs(codes, rotations, classes, plan, k, bucket_cap)
 
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    floats = usable.groupBy("h").agg(F.first("vec").alias("vec")).withColumn("norm", norm)
-    right = pairs.join(floats.withColumnsRenamed({"h": "b", "vec": "vec_b", "norm": "norm_b"}), "b")
-    both = right.join(floats.withColumnRenamed("h", "a"), "a")
-    dot = F.aggregate(F.zip_with("vec", "vec_b", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    scored = materialize(both.select("a", "b", (dot / (F.col("norm") * F.col("norm_b"))).alias("cosine")).filter(F.col("cosine") >= min_cosine), "scored")
+    scored = materialize(_rescored(pairs, usable, min_cosine), "scored")
 
     first = Window.partitionBy("h").orderBy("path")
     heads = members.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1).drop("n")
