@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,6 +164,54 @@ def outside(uses: DataFrame, defs: DataFrame) -> DataFrame:
     return u.join(d, inside, "left_anti")
 
 
+_word = re.compile(r"[A-Za-z0-9_$]+")
+
+
+def mention_counts(docs: DataFrame, defs: DataFrame) -> DataFrame:
+    """(symbol, mentions): whole-word occurrences of each defined symbol outside its own definitions; symbols without one
+    are left out.
+
+    A body meets the definitions of its own file, is cut into words there, and only counts leave the task: no word and
+    no line is shuffled. Bodies delivered twice count once. Up to SYMBOLS_BROADCAST symbols are known to the tasks,
+    beyond it all words are counted and met with the symbols afterwards.
+    """
+    asked = defs.select("symbol").filter("symbol IS NOT NULL").distinct()
+    some = [r["symbol"] for r in asked.limit(SYMBOLS_BROADCAST + 1).toArrow().to_pylist()]
+    few = len(some) <= SYMBOLS_BROADCAST
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(some) if few else None)
+    spans = F.collect_set(F.struct("symbol", "start_line", "end_line")).alias("spans")  # of one file
+    own = defs.filter("path IS NOT NULL AND symbol IS NOT NULL").groupBy("path").agg(spans)
+    bodies = docs.filter("path IS NOT NULL AND body IS NOT NULL").select("path", "body").distinct()
+
+    def run(batches):
+        known, total = shared.value, Counter()
+        for b in batches:
+            for body, mine in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = Counter(_word.findall(body))
+                lines = body.split("\n") if mine else []
+                inside: dict[str, set[int]] = {}
+                for d in mine or ():
+                    if d["symbol"] in words and d["start_line"] is not None and d["end_line"] is not None:
+                        inside.setdefault(d["symbol"], set()).update(range(max(d["start_line"], 0), min(d["end_line"] + 1, len(lines))))
+                for symbol, at in inside.items():
+                    words[symbol] -= sum(_word.findall(lines[i]).count(symbol) for i in at)
+                for w, n in words.items():
+                    if n > 0 and (known is None or w in known):
+                        total[w] += n
+            if len(total) > 1_000_000:
+                yield _counts(total)
+                total = Counter()
+        yield _counts(total)
+
+    counted = bodies.join(own, "path", "left").select("body", "spans").mapInArrow(run, "symbol string, n long")
+    counted = counted if few else counted.join(asked, "symbol", "left_semi")
+    return counted.groupBy("symbol").agg(F.sum("n").alias("mentions"))
+
+
+def _counts(total: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["symbol", "n"])
+
+
 def impact(nodes: DataFrame, docs: DataFrame, calls: DataFrame, complexity: DataFrame, symbols: DataFrame | None = None, alias_calls: DataFrame | None = None) -> DataFrame:
     """One row per defined symbol: definitions, mentions, confirmed call sites, ref_count, risk, complexity,
     callees, hedges.
@@ -173,7 +225,7 @@ def impact(nodes: DataFrame, docs: DataFrame, calls: DataFrame, complexity: Data
     if symbols is not None:
         defs = defs.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
     base = defs.join(complexity.select("id", "complexity"), "id", "left").groupBy("symbol").agg(F.count("*").alias("defs"), F.coalesce(F.max("complexity"), F.lit(0)).alias("complexity"), F.max(F.col("body").rlike(r"^\s*export\b").cast("int")).alias("_exported"))
-    said = outside(mentions(docs, defs), defs).groupBy("symbol").agg(F.sum("n").alias("mentions"))
+    said = mention_counts(docs, defs)
     sites = calls.select(F.col("callee").alias("symbol"), "path", "line").distinct()
     if alias_calls is not None:
         sites = sites.unionByName(alias_calls.select("symbol", "path", "line").distinct())

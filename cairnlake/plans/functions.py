@@ -196,9 +196,22 @@ y AS (SELECT src, spec, base, unnest(range(20)) AS nth, unnest([base || x for x
 f AS (SELECT src, spec, path, row_number() OVER (PARTITION BY src, spec ORDER BY nth) AS n FROM y JOIN k USING (path))
 SELECT DISTINCT src AS src_path, path AS dst_path FROM f WHERE n = 1 AND src <> path"""
 
+
+
+def word_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Every line that names a class, and how often."""
+    classes = _t(spark, d, "nodes").filter("symbol IS NOT NULL AND node_type IN ('class_declaration', 'class_definition')")
+    return graph.mentions(_t(spark, d, "docs"), classes).withColumn("line", F.col("line").cast("long"))
+
+
+MATCHES = r"""WITH b AS (SELECT DISTINCT path, body FROM docs WHERE path IS NOT NULL AND body IS NOT NULL),
+l AS (SELECT path, unnest(range(len(string_split(body, chr(10))))) AS line, unnest(string_split(body, chr(10))) AS text FROM b),
+w AS (SELECT path, line, unnest(regexp_extract_all(text, '[A-Za-z0-9_$]+')) AS symbol FROM l)
+SELECT symbol, path, line, count(*) AS n FROM w WHERE symbol IN (SELECT symbol FROM nodes WHERE symbol IS NOT NULL AND node_type IN ('class_declaration', 'class_definition')) GROUP BY ALL"""
+
 QUERIES = {
     unicode_terms: UNICODE_TERMS, camel_terms: CAMEL_TERMS, index_terms: INDEX_TERMS, lookup_tiers: LOOKUP, retrieval_quality: QUALITY, score_auc: AUC, trace_chain: TRACE, line_paragraphs: PARAGRAPHS,
-    inline_bodies: INLINE, scalar_signals: SIGNALS, import_edges: IMPORT_EDGES,
+    inline_bodies: INLINE, scalar_signals: SIGNALS, import_edges: IMPORT_EDGES, word_matches: MATCHES,
 }
 
 

@@ -435,7 +435,7 @@ SELECT seed, id, 1 AS hops, CASE WHEN d = 0 THEN 'out' ELSE 'in' END AS via FROM
 def symbol_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Mentions of every class outside its own definitions."""
     defs = _t(spark, d, "nodes").filter("symbol IS NOT NULL AND node_type IN ('class_declaration', 'class_definition') AND start_line IS NOT NULL AND end_line IS NOT NULL").dropDuplicates(["id"])
-    return graph.outside(graph.mentions(_t(spark, d, "docs"), defs), defs).groupBy("symbol").agg(F.sum("n").alias("mentions"))
+    return graph.mention_counts(_t(spark, d, "docs"), defs)
 
 
 MENTIONS = r"""WITH df AS (SELECT DISTINCT symbol, path, start_line, end_line FROM nodes WHERE symbol IS NOT NULL AND node_type IN ('class_declaration', 'class_definition') AND start_line IS NOT NULL AND end_line IS NOT NULL),
