@@ -161,7 +161,7 @@ def _unlearned(d: int, plan: Plan) -> Rotation:
 def fit(usable: DataFrame, rows: int, sample: int, plan: Plan) -> dict[int, Rotation]:
     """Rotations by length from about `sample` rows picked by hash (2 x sample at most reach the driver)."""
     share = min(1.0, sample / max(rows, 1))
-    picked = usable.filter(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("dim", "vec").limit(2 * sample).toArrow()
+    picked = usable.filter(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("h", "dim", "vec").limit(2 * sample).toArrow().sort_by("h")
     dims = picked["dim"].to_numpy()
     lengths, counts = np.unique(dims, return_counts=True)
     out = {}

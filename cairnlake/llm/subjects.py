@@ -479,7 +479,8 @@ def _mine(rows: DataFrame, mark, tongues: list[str], subjects: list[str], share:
     if len(at):
         cuts = rows.mapInArrow(_conditional(mark, classes.names, item[at]), "shard int, cls int, ids array<long>, n long")
         cuts = cuts.groupBy("shard", "cls", "ids").agg(F.sum("n").alias("n"))
-        grown = cuts.groupBy("shard").applyInArrow(_grow(item[at], e[at], classes, support, least), "items array<long>, subject int, e double").toArrow().to_pylist()
+        # shards stay apart: what they grow is small to ship and long to count
+        grown = cuts.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard").groupBy("shard").applyInArrow(_grow(item[at], e[at], classes, support, least), "items array<long>, subject int, e double").toArrow().to_pylist()
         known = {int(i): x for i, x in zip(item, e)}
         more = {(tuple(r["items"]), r["subject"]): r["e"] for r in grown}
         for (x, s), v in sorted(more.items(), key=lambda r: (len(r[0][0]), r[0])):
