@@ -5,8 +5,9 @@ Plan
    the rotated vector are its code. The code is cut into substrings of `width` bits, and each is indexed (a table).
    Width follows from the number of vectors (`width_for`), so that a substring has few candidates.
 2. The number of tables is measured: as many as it takes at that width for the share RECALL of pairs at exactly
-   min_cosine to meet in one of them (`fit_rotation`), so recall doesn't depend on the number of vectors. Of two codes that differ in fewer than
-   2 x tables bits, one substring differs in one bit at most (pigeonhole), so these meet for certain.
+   min_cosine to meet in one of them (`fit_rotation`), so recall doesn't depend on the number of vectors. Of two codes that differ in
+   fewer bits than there are tables, one substring is equal (pigeonhole), so these meet for certain; the flips raise the
+   share of all others.
 3. The first KEY bits of a substring are the shuffle key; index and lookups with flips of the other, low bits are arrays
    of one task, so no flip is shuffled. A row of the shuffle packs all codes of a batch that have one key.
 4. Pairs within the radius on CHECK bits whose distance is near the k smallest of one of the two are ranked by the
