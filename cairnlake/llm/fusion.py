@@ -110,7 +110,7 @@ def ranking(hits: DataFrame, **how) -> DataFrame:
     """(group, item, place): one order of the items of each group, from 1; the larger fused value first, equal ones by
     item, a null item before all others."""
     group, item = how.get("group", "query_id"), how.get("item", "path")
-    fused = fuse(hits, **how).select(group, item, "fused")
+    fused = materialize(fuse(hits, **how).select(group, item, "fused"), "fused")  # numbered() reads it three times
     return numbered(fused, group, [F.desc("fused"), F.col(item).asc_nulls_first()], "place", how.get("hot_rows", HOT_ROWS)).drop("fused")
 
 
